@@ -8,24 +8,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import media, mixing, packing, quality, simhash, tokens
 from .common import table
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as 8-bit WAVE samples, sniffed, read back and measured."""
+    stored = media.text_media(table(spark, sf_dir, "documents"))
+    return media.features(media.sniffed(stored, ["doc_id", "n_bytes"]))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes of each document."""
     copies = mixing.mix(table(spark, sf_dir, "documents"))
     return copies.groupBy("doc_id", "source", "bucket", "pos").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that aren't held out."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents under the 32k piece model."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens, a row per piece."""
     return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.near_duplicate_ids(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op2_mix": op2_mix,
+    "op3_quality": op3_quality,
+    "op6_tokens": op6_tokens,
     "op8_pack": op8_pack,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
