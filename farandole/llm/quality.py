@@ -164,11 +164,11 @@ def _measured(docs: DataFrame, keep: list[str], schema: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Trees from at most so many labelled rows that aren't held out."""
-    told = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select(F.col("doc_id").alias("of_doc"), F.col("quality").cast("int"))
+    told = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select(F.col("doc_id").alias("of_doc"), F.col("quality").cast("int")).distinct()
     told = told.orderBy(F.xxhash64("of_doc"), "of_doc", "quality").limit(rows)
-    # At most `rows` pairs of numbers: a broadcast of a documented bound.
-    seen = docs.join(F.broadcast(told), F.col("doc_id") == F.col("of_doc")).select("text", "of_doc", "quality")
-    got = _measured(seen, ["of_doc", "quality"], "of_doc long, quality int").toArrow().sort_by([("of_doc", "ascending"), ("quality", "ascending"), ("stats", "ascending")])
+    # At most `rows` pairs of numbers: a broadcast of a documented bound. Repeated documents count once.
+    seen = docs.join(F.broadcast(told), F.col("doc_id") == F.col("of_doc")).groupBy("of_doc", "quality").agg(F.min("text").alias("text"))
+    got = _measured(seen, ["of_doc", "quality"], "of_doc long, quality int").toArrow().sort_by([("of_doc", "ascending"), ("quality", "ascending")])
     x = np.frombuffer(b"".join(got.column("stats").to_pylist())).reshape(-1, len(STATISTICS))
     return grow(x, got.column("quality").to_numpy().astype(float))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, simhash, tokens
+from . import langid, media, mixing, packing, quality, simhash, tokens, topk
 from .common import table
 
 
@@ -29,6 +29,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other rows of every vector whose id is divisible by 20, over all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows.where("vec_id % 20 = 0"), rows)
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents under the 32k piece model."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -44,13 +50,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_ids(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_mix": op2_mix,
     "op3_quality": op3_quality,
+    "op4_topk": op4_topk,
     "op6_tokens": op6_tokens,
     "op8_pack": op8_pack,
     "op9_simhash": op9_simhash,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -76,4 +89,13 @@ ORACLE_SQL: dict[str, str] = {
                 + greatest(0, least(size, floor(target)::BIGINT - source_size - done + size))
                 + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - done + size)))::BIGINT AS taken
         FROM queue""",
+    "op4_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x
+                   FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+                  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
 }
