@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, quality, simhash, tokens, topk
+from . import langid, media, mixing, packing, quality, simhash, tokens, topk, urls, warc
 from .common import table
 
 
@@ -35,11 +35,21 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.where("vec_id % 20 = 0"), rows)
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url under the fixed rules and its redirect aliases."""
+    return urls.judged(table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents under the 32k piece model."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records of a copy of all pages' WARC archives, located by the Merkle audit."""
+    return warc.damage(table(spark, sf_dir, "pages"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens, a row per piece."""
     return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
@@ -60,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op3_quality": op3_quality,
     "op4_topk": op4_topk,
+    "op5_urls": op5_urls,
     "op6_tokens": op6_tokens,
+    "op7_warc": op7_warc,
     "op8_pack": op8_pack,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
@@ -98,4 +110,42 @@ ORACLE_SQL: dict[str, str] = {
                   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op5_urls": r"""
+        WITH RECURSIVE rules(action, rule) AS (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')),
+        p AS (SELECT page_id, html, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)(\?[^#]*)?', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                     coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)(\?[^#]*)?', 2), '') AS path,
+                     coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)(\?[^#]*)?', 3), '') AS query FROM pages),
+        n AS (SELECT *, CASE WHEN host <> '' THEN '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM p),
+        links AS (
+            SELECT *, regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b'))[1], '(?is)\bhref\s*=\s*["'']?([^"''>\s]*)', 1) AS link FROM n
+            UNION ALL
+            SELECT *, regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?is)\burl\s*=\s*["'']?([^"''>\s]*)', 1) FROM n),
+        l2 AS (SELECT *, replace(trim(link), '&amp;', '&') AS k, 'x://' || host AS base, CASE WHEN path = '' THEN '/' ELSE path END AS dir FROM links WHERE link <> ''),
+        l3 AS (SELECT node AS a, CASE WHEN k = '' OR k LIKE '#%' THEN NULL WHEN regexp_matches(k, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN k WHEN k LIKE '//%' THEN 'x:' || k
+                      WHEN regexp_matches(k, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN k LIKE '/%' THEN base || k WHEN k LIKE '?%' THEN base || dir || k
+                      ELSE base || regexp_replace(dir, '[^/]*$', '') || k END AS t FROM l2),
+        l4 AS (SELECT a, translate(regexp_extract(t, '://([^/?#]*)([^?#]*)(\?[^#]*)?', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(t, '://([^/?#]*)([^?#]*)(\?[^#]*)?', 2) AS path,
+                      coalesce(regexp_extract(t, '://([^/?#]*)([^?#]*)(\?[^#]*)?', 3), '') AS query FROM l3),
+        e AS (SELECT DISTINCT a, '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || query AS b FROM l4 WHERE host <> ''),
+        e2 AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+        reach(a, b) AS (SELECT a, a FROM e2 UNION SELECT r.a, e2.b FROM reach r JOIN e2 ON r.b = e2.a),
+        urls AS (SELECT DISTINCT host, path FROM n UNION SELECT DISTINCT regexp_extract(b, '://([^/?#]*)([^?#]*)', 1), regexp_extract(b, '://([^/?#]*)([^?#]*)', 2) FROM reach),
+        fits AS (SELECT u.host, u.path, arg_max(struct_pack(rule, action), struct_pack(len := length(rule), ok := (action = 'allow')::INT, rule := rule)) AS best
+                 FROM urls u JOIN rules r ON (u.host = split_part(rule, '/', 1) OR ends_with(u.host, '.' || split_part(rule, '/', 1))) AND starts_with(u.path, substr(rule, instr(rule, '/')))
+                 GROUP BY ALL),
+        alias AS (SELECT r.a AS node, max(CASE f.best.action WHEN 'allow' THEN 2 ELSE 1 END) AS most
+                  FROM reach r JOIN fits f ON f.host = regexp_extract(r.b, '://([^/?#]*)([^?#]*)', 1) AND f.path = regexp_extract(r.b, '://([^/?#]*)([^?#]*)', 2) GROUP BY 1)
+        SELECT page_id, n.host, n.path, f.best.rule AS rule, coalesce(f.best.action, CASE most WHEN 2 THEN 'allow' WHEN 1 THEN 'block' END, 'allow') AS verdict
+        FROM n LEFT JOIN fits f ON n.host = f.host AND n.path = f.path LEFT JOIN alias USING (node)""",
+    "op7_warc": r"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5(concat_ws('|', page_id::VARCHAR, url)) AS m,
+                          ('0x' || substr(md5(coalesce(page_id::VARCHAR, 'x')), 1, 6))::BIGINT AS k FROM pages),
+        r AS (SELECT page_id, k, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12)
+                     || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) AS text FROM p),
+        d AS (SELECT page_id, sha256(text || chr(10)) AS digest, strlen(text) + 1 AS length, CASE WHEN k % 211 = 7 THEN NULL WHEN k % 61 = 0 THEN sha256(text || '!') ELSE sha256(text || chr(10)) END AS replica_digest FROM r),
+        once AS (SELECT page_id, digest, length, replica_digest, count(*)::BIGINT AS copies FROM d GROUP BY ALL),
+        a AS (SELECT *, substr(digest, 1, greatest(1, ceil(ln((SELECT sum(length) FROM once) / 1073741824.0) / ln(16.0)))::INT) AS archive FROM once),
+        o AS (SELECT *, (sum(length) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS "offset" FROM a)
+        SELECT page_id, archive, "offset", length::BIGINT AS length, digest, replica_digest, CASE WHEN replica_digest IS NULL THEN 'missing' ELSE 'corrupt' END AS status, copies
+        FROM o WHERE replica_digest IS DISTINCT FROM digest""",
 }
