@@ -2,29 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_local: list[str] = []
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back, so a round doesn't carry
-    the plans of those before it. Without that setting (no cluster) a temporary folder serves."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not _local:
-            _local.append(tempfile.mkdtemp(prefix="farandole-rounds-"))
-        top = f"file://{_local[0]}"
-    path = f"{top.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from farandole.scratch import stored
 
 def earliest_arrivals(stop_times: DataFrame, seeds: DataFrame, connections: DataFrame | None, rounds: int, bound: int) -> DataFrame:
     """Labels (stop_id, round, arrival) of a round-based search.
@@ -45,7 +27,7 @@ def earliest_arrivals(stop_times: DataFrame, seeds: DataFrame, connections: Data
             got = got.unionByName(walked).groupBy("stop_id").agg(F.min("arrival").alias("arrival"))
         held = best.select("stop_id", F.col("arrival").alias("before"))
         better = got.join(held, "stop_id", "left").where("before is null or arrival < before").select("stop_id", "arrival")
-        frontier = stored(better)
+        frontier = stored(better, "round")
         if frontier.isEmpty():
             break
         labels = labels.unionByName(frontier.select("stop_id", F.lit(k).alias("round"), "arrival"))
@@ -63,15 +45,15 @@ def isochrone(labels: DataFrame, start: int, duration: int) -> DataFrame:
 def shortest_paths(edges: DataFrame, origins: DataFrame, radius: int, rounds: int = 1000) -> DataFrame:
     """(origin, node, cost) within the radius over edges (a, b, cost), for all origins at once:
     a round relaxes the edges of the nodes that the last one improved."""
-    best = frontier = stored(origins.select("origin", "node", F.lit(0).cast("long").alias("cost")))
+    best = frontier = stored(origins.select("origin", "node", F.lit(0).cast("long").alias("cost")), "paths")
     step = edges.select(F.col("a").alias("node"), "b", F.col("cost").alias("more"))
     for _ in range(rounds):
         ahead = frontier.join(step, "node").select("origin", F.col("b").alias("node"), (F.col("cost") + F.col("more")).alias("cost")).where(F.col("cost") <= radius).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
         held = best.select("origin", "node", F.col("cost").alias("before"))
-        frontier = stored(ahead.join(held, ["origin", "node"], "left").where("before is null or cost < before").select("origin", "node", "cost"))
+        frontier = stored(ahead.join(held, ["origin", "node"], "left").where("before is null or cost < before").select("origin", "node", "cost"), "paths")
         if frontier.isEmpty():
             break
-        best = stored(best.unionByName(frontier).groupBy("origin", "node").agg(F.min("cost").alias("cost")))
+        best = stored(best.unionByName(frontier).groupBy("origin", "node").agg(F.min("cost").alias("cost")), "paths")
     return best
 
 

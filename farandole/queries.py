@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farandole.functions import columns as C
-from farandole.operators import disruptions, fares, geo, journeys, periods, routing, sets, text, timetable
+from farandole.operators import disruptions, fares, geo, journeys, periods, requests, routing, sets, text, timetable
 from farandole.plans.feed import SQL, Feed
 from farandole.streaming import realtime
 
@@ -740,3 +740,84 @@ def waiting_filter(f: Feed) -> DataFrame:
 @query("WITH p AS (SELECT trip_id, string_agg((company_id % 3)::VARCHAR, '>' ORDER BY rank) AS path FROM stop_time GROUP BY 1) SELECT path, min(trip_id) AS trip_id, count(*)::BIGINT AS journeys FROM p GROUP BY 1")
 def journey_aggregate(f: Feed) -> DataFrame:
     return journeys.aggregated(f.stop_time.select("trip_id", "rank", (F.col("company_id") % 3).alias("section")), "trip_id")
+
+
+# Remaining answers
+
+
+@query("SELECT 'network' AS kind, count(*)::BIGINT AS n FROM network UNION ALL SELECT 'line', count(*) FROM line UNION ALL SELECT 'route', count(*) FROM route UNION ALL SELECT 'stop_point', count(*) FROM stop_point")
+def geo_status(f: Feed) -> DataFrame:
+    return requests.geo_status(network=f.network, line=f.line, route=f.route, stop_point=f.stop_point)
+
+
+@query("""WITH a AS (SELECT stop_id, min(rank * 60)::BIGINT AS duration, 0 AS priority FROM stop_time WHERE mode = 'O' GROUP BY 1 UNION ALL SELECT id, (id % 900)::BIGINT, 1 FROM stop_point)
+    SELECT stop_id, duration, priority FROM a QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY priority) = 1""")
+def access_stops(f: Feed) -> DataFrame:
+    own = f.stop_time.where("mode = 'O'").select("stop_id", (F.col("rank") * 60).cast("long").alias("duration"))
+    return requests.access_stops([own, f.stop_point.select(F.col("id").alias("stop_id"), (F.col("id") % 900).alias("duration"))])
+
+
+@query("SELECT id, CASE WHEN id < 10 THEN 'network' WHEN id < 100 THEN 'company' ELSE 'route' END AS kind FROM route WHERE id >= 100 UNION ALL SELECT id, 'network' FROM network UNION ALL SELECT id, 'company' FROM company WHERE id NOT IN (SELECT id FROM network) UNION ALL SELECT id, 'route' FROM route WHERE id < 100 AND id NOT IN (SELECT id FROM network) AND id NOT IN (SELECT id FROM company)")
+def place_uri(f: Feed) -> DataFrame:
+    return requests.first_found([t.select("id", F.lit(k).alias("kind")) for k, t in (("network", f.network), ("company", f.company), ("route", f.route))], "id").select("id", "kind")
+
+
+ORACLE_SQL["place_uri"] = ORACLE_SQL["place_uri"].replace("SELECT id, CASE WHEN id < 10 THEN 'network' WHEN id < 100 THEN 'company' ELSE 'route' END AS kind FROM route WHERE id >= 100 UNION ALL", "SELECT id, 'route' AS kind FROM route WHERE id >= 100 AND id NOT IN (SELECT id FROM company) UNION ALL")
+
+
+@query(f"SELECT id, round(coalesce(CASE WHEN id % 2 = 0 THEN id * 100.0e0 END, {_distance('lon', 'lat', '2.5', '48.5')} * 1.35) / 1000 * 184, 3) AS emission FROM route")
+def car_co2(f: Feed) -> DataFrame:
+    given = F.when(F.col("id") % 2 == 0, F.col("id") * 100.0)
+    return f.route.select("id", F.round(requests.car_emission(F.col("lon"), F.col("lat"), F.lit(2.5), F.lit(48.5), given, 184.0), 3).alias("emission"))
+
+
+@query("WITH n AS (SELECT entity_id, arg_max(kind, ts) AS status FROM event WHERE k < 50 GROUP BY 1) SELECT id, coalesce(status, 'unknown') AS status FROM stop_point LEFT JOIN n ON entity_id = id")
+def equipment_overlay(f: Feed) -> DataFrame:
+    status = f.event.where("k < 50").select(F.col("entity_id").alias("id"), F.col("kind").alias("status"), F.col("ts").alias("updated"))
+    return requests.overlaid_status(f.stop_point.select("id"), status, "id")
+
+
+@query("SELECT entity_id, id, ts, row_number() OVER (PARTITION BY entity_id ORDER BY ts, id)::INT AS nth FROM event WHERE ts >= TIMESTAMP '2024-01-20' AND ts <= TIMESTAMP '2024-01-22' QUALIFY nth <= 2")
+def realtime_window(f: Feed) -> DataFrame:
+    return requests.realtime_window(f.event.select("entity_id", "id", "ts"), "entity_id", F.lit("2024-01-20").cast("timestamp_ntz"), 172_800, 2)
+
+
+@query(f"WITH z AS (SELECT lon AS zl, lat AS za FROM route WHERE id IN (1, 2, 3)) SELECT id FROM stop_point WHERE NOT EXISTS (SELECT 1 FROM z WHERE {_distance('lon', 'lat', 'zl', 'za')} <= 8000)")
+def excluded_zones(f: Feed) -> DataFrame:
+    zones = f.route.where("id in (1, 2, 3)").select(F.col("lon").alias("zone_lon"), F.col("lat").alias("zone_lat"), F.lit(8000).alias("radius"))
+    return requests.outside_zones(f.stop_point.select("id", "lon", "lat"), zones).select("id")
+
+
+@query("SELECT line.id, concat_ws(' ', CASE WHEN network.name <> line.name THEN network.name END, line.name, line.id::VARCHAR) AS label FROM line JOIN network ON network.id = network_id")
+def line_label(f: Feed) -> DataFrame:
+    rows = f.line.join(f.network.select(F.col("id").alias("network_id"), F.col("name").alias("network")), "network_id")
+    return rows.select("id", requests.line_label(F.col("network"), F.col("name"), F.col("id").cast("string"), F.col("name")).alias("label"))
+
+
+@query("SELECT id, row_number() OVER (ORDER BY network_id, split_part(name, '_', 1), split_part(name, '_', 2)::INT, id)::INT - 1 AS idx FROM line")
+def natural_line_order(f: Feed) -> DataFrame:
+    order = Window.orderBy("network_id", requests.natural_order(F.col("name")), "id")
+    return f.line.select("id", (F.row_number().over(order) - 1).alias("idx"))
+
+
+@query("SELECT id, entity_id FROM event QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, id DESC) > 10 AND kind <> 'view'")
+def dataset_purge(f: Feed) -> DataFrame:
+    rows = f.event.select("id", "entity_id", F.col("ts").alias("created"), (F.col("kind") == "view").alias("running"))
+    return requests.stale(rows, "entity_id", 10).select("id", "entity_id")
+
+
+@query("SELECT stop_id, min(rank * 60 + company_id % 300)::BIGINT AS duration FROM stop_time GROUP BY 1 HAVING min(rank * 60 + company_id % 300) < 120")
+def access_by_entrance(f: Feed) -> DataFrame:
+    ways = f.stop_time.select("stop_id", F.col("company_id").alias("entrance_id"), (F.col("rank") * 60).cast("long").alias("duration"))
+    return requests.access_by_entrance(ways, f.company.select(F.col("id").alias("entrance_id"), (F.col("id") % 300).alias("traversal_time")), 120)
+
+
+@query("WITH b AS (SELECT line_id, bit_or((id % 4 & (id // 7 % 4))::INT) AS bits FROM route GROUP BY 1) SELECT line_id, CASE WHEN bits = 0 THEN 'scheduled' WHEN bits & 2 = 0 THEN 'with_stops' ELSE 'zonal' END AS odt_level FROM b")
+def odt_level(f: Feed) -> DataFrame:
+    bits = (F.col("id") % 4).bitwiseAND(F.floor(F.col("id") / 7) % 4).cast("int")
+    return requests.odt_level(f.route.select("line_id", bits.alias("bits")), "line_id")
+
+
+@query("WITH s AS (SELECT line_id AS component, count(*)::BIGINT AS n FROM route GROUP BY 1) SELECT component, n FROM s WHERE n >= (SELECT max(n) FROM s) * 0.6")
+def large_components(f: Feed) -> DataFrame:
+    return requests.large_components(f.route.select(F.col("line_id").alias("component"), F.col("id").alias("node")), 0.6)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farandole.operators.disruptions import upserted
+from farandole.scratch import scratch_path
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -40,8 +38,7 @@ def upserted_newest(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 def latest_by_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """Runs the stream over all messages that are there, and returns the final state."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{(top or 'file://' + tempfile.mkdtemp(prefix='farandole-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "stream")
     state = LatestState(spark, f"{folder}/state")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     run = messages(stream).writeStream.foreachBatch(state.apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
