@@ -2,50 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farandole.scratch import shared_dir, stored
+
+__all__ = ["BROADCAST_ROWS", "WORD", "crc32_of", "shared_dir", "small", "sliced", "stored", "table", "text_bytes"]
+
 #: A side is broadcast only below this many rows; beyond it the join is left to the planner.
 BROADCAST_ROWS = 200_000
 
 #: Ends of a word: ASCII white space, nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir).
-
-    Where the setting is missing there is no cluster: a temporary folder of this machine
-    serves, which goes when the interpreter ends.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="farandole-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: its lineage ends there, so a lost
-    executor costs a re-read and no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to hold at most that many rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -59,3 +36,12 @@ def crc32_of(col: str) -> Column:
 def text_bytes(col: str = "text") -> Column:
     """Whole text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes: what a task holds as Python objects doesn't
+    grow with the number of rows in a batch."""
+    for batch in batches:
+        rows = max(1, int(most * batch.num_rows / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
