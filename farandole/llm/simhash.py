@@ -13,6 +13,9 @@ fingerprints of even parity emit all variants within one flip and odd ones all w
 whatever meets at a variant together with an even one is linked to it, and a star of links is
 enough; such a ball never holds more than 65 + 2081 fingerprints.
 
+The pipeline's stage (without_near_duplicates) takes three fingerprints of each text's set of
+words for candidates and verifies them by the similarity of their five-word shingles.
+
 Exact copies share a fingerprint, and everything above runs on distinct fingerprints. Groups are
 the connected components of the links.
 
@@ -28,11 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import sliced, small, stored, text_bytes
 from .components import components
 
 RADIUS = 3
@@ -42,6 +44,9 @@ SEED = 42
 #: Fingerprints of a key that are compared with each other; beyond it the exact way for dense
 #: families is taken.
 MEETING = 64
+#: Independent fingerprints of a text that the pipeline's stage links: what one of them misses
+#: another one may find.
+FAMILIES = 3
 #: First bit and number of bits of the blocks of which one is left out.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 
@@ -61,23 +66,15 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, carry: bool = False) -> DataFrame:
-    """doc_id, fp; with carry also task and nth, which tell rows apart, and doc, a struct of all
-    columns."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """doc_id and fp of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, nth = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
+        for batch in sliced(batches):
             fp = pa.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], pa.int64())
-            more = [pa.array(np.full(n, task)), pa.array(np.arange(nth, nth + n)), batch.column(2)] if carry else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, *more], names=["doc_id", "fp", "task", "nth", "doc"][: 2 + len(more)])
-            nth += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])
 
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), *[whole][: int(carry)])
-    more = f", task long, nth long, doc {rows.schema['doc'].dataType.simpleString()}" if carry else ""
-    return rows.mapInArrow(run, "doc_id long, fp long" + more)
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -177,22 +174,29 @@ def _meetings(radius: int, most: int):
 
 def _dense_links(fps: DataFrame) -> DataFrame:
     """All links between the given fingerprints, as stars around the variants where they meet."""
-    flips = [[0], [1 << k for k in range(64)], [1 << j | 1 << k for k in range(64) for j in range(k)]]
-    made = [F.struct(F.lit(_signed(x)).cast("long").alias("flip"), F.lit(r).alias("r")) for r, xs in enumerate(flips) for x in xs]
+    one = "transform(sequence(0, 63), k -> named_struct('flip', shiftleft(1L, k), 'r', 1))"
+    two = "flatten(transform(sequence(1, 63), k -> transform(sequence(0, k - 1), j -> named_struct('flip', shiftleft(1L, k) | shiftleft(1L, j), 'r', 2))))"
+    none = "array(named_struct('flip', 0L, 'r', 0))"
     odd = (F.bit_count("fp") % 2 == 1).alias("odd")
-    balls = [fps.where(F.bit_count("fp") % 2 == parity).select("fp", odd, F.explode(F.array(*made[:n])).alias("v")) for parity, n in ((0, 65), (1, len(made)))]
+    variants = (F.expr(f"explode(concat({none}, {one}))"), F.expr(f"explode(concat({none}, {one}, {two}))"))
+    balls = [fps.where(F.bit_count("fp") % 2 == parity).select("fp", odd, v.alias("v")) for parity, v in enumerate(variants)]
     met = balls[0].unionByName(balls[1]).select("fp", "odd", F.col("v.r").alias("r"), F.col("fp").bitwiseXOR(F.col("v.flip")).alias("key"))
     hubs = met.groupBy(F.col("key").alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("odd"), F.col("fp"))).alias("even"), F.min(F.when(F.col("r") < 2, F.col("fp"))).alias("near")).where("n > 1")
     joined = met.join(hubs, F.col("key") == F.col("at"))
     return joined.select(F.col("fp").alias("a"), F.when(F.col("even").isNotNull(), F.col("even")).when(F.col("r") < 2, F.col("near")).alias("b")).where("a <> b").distinct()
 
 
-def groups(rows: DataFrame, radius: int = RADIUS, most: int = MEETING) -> DataFrame:
-    """(fp, component) for each fingerprint of rows that is linked to another one."""
-    met = _emitted(rows.select("fp").distinct()).repartition("key").sortWithinPartitions("key", "fp")
+def links(fps: DataFrame, radius: int = RADIUS, most: int = MEETING) -> DataFrame:
+    """(a, b): links between the distinct fingerprints of fps, enough to connect what is linked."""
+    met = _emitted(fps.select("fp").distinct()).repartition("key").sortWithinPartitions("key", "fp")
     met = stored(met.mapInArrow(_meetings(radius, most), "a long, b long"), "simhash-links")
     dense = met.where("b is null").select(F.col("a").alias("fp")).distinct()
-    return components(met.where("b is not null").unionByName(_dense_links(dense))).toDF("fp", "component")
+    return met.where("b is not null").unionByName(_dense_links(dense))
+
+
+def groups(rows: DataFrame, radius: int = RADIUS, most: int = MEETING) -> DataFrame:
+    """(fp, component) for each fingerprint of rows that is linked to another one."""
+    return components(links(rows, radius, most)).toDF("fp", "component")
 
 
 def near_duplicates(rows: DataFrame, radius: int = RADIUS, most: int = MEETING) -> DataFrame:
@@ -211,14 +215,85 @@ def near_duplicate_ids(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs, of each group of near-duplicates only the document with the smallest doc_id (of
-    repeated rows the first one read)."""
-    rows = stored(fingerprints(docs, words, carry=True), "simhash-documents")
-    at = rows.select("doc_id", "fp", "task", "nth")
-    group = groups(rows).withColumnRenamed("fp", "of")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "task", "nth")
-    best = at.groupBy("fp").agg(F.min(rank).alias("best"))
-    best = best.join(group, F.col("fp") == F.col("of"), "left").groupBy(F.coalesce("component", "fp")).agg(F.min("best").alias("best"))
-    keep = best.select(F.col("best.task").alias("keep_task"), F.col("best.nth").alias("keep_nth"))
-    return rows.join(keep, (F.col("task") == F.col("keep_task")) & (F.col("nth") == F.col("keep_nth")), "left_semi").select("doc.*")
+def word_fingerprints(text: bytes, families: int) -> list[int]:
+    """SimHashes of the set of a text's words, each family with hashes of its own."""
+    from xxhash import xxh64_intdigest
+
+    w = set(text.lower().split())
+    h = np.fromiter((xxh64_intdigest(x, SEED) for x in w), np.uint64, len(w))
+    out = []
+    for _ in range(families):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        h ^= h >> np.uint64(27)
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; one of a text with fewer words."""
+    from xxhash import xxh64_intdigest
+
+    w = text.lower().split()
+    each = {b" ".join(x) for x in zip(*(w[k:] for k in range(words)), strict=False)} or {b" ".join(w)}
+    return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in each), np.uint64, len(each)).view(np.int64))
+
+
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """md5 of a row's doc_id and text."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), F.lit("|").cast("binary"), text))
+
+
+def similar_texts(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of texts (text_key, row_key) whose shingles' Jaccard similarity
+    reaches the bound. Only documents that occur in a pair are read into the join."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct().join(texts, "text_key").select(F.col("row_key").alias("asked"), "text_key")
+    read = docs.select(_row_key(F.col("doc_id"), text_bytes()).alias("row_key"), text_bytes().alias("text")).join(small(asked), F.col("row_key") == F.col("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
+
+    sets = stored(read.select("text_key", "text").mapInArrow(run, "text_key string, shingles array<long>").dropDuplicates(["text_key"]), "simhash-shingles")
+    left, right = (sets.select(F.col("text_key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("a_set", "b_set")))
+    return both.where(F.col("same") >= similarity * (F.size("a_set") + F.size("b_set") - F.col("same"))).select("a", "b")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = FAMILIES) -> DataFrame:
+    """docs, of each group of near-duplicates only the document with the smallest doc_id.
+
+    Near-duplicates are connected by pairs of texts whose shingles' similarity reaches the bound.
+    Candidates are texts of which some family's fingerprints link; fingerprints are of word sets,
+    since a change of one word moves several shingles, but one word. Every candidate is verified.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            fps = np.array([word_fingerprints(t, families) for t in batch.column(3).to_pylist()], np.int64).reshape(-1, families)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(fps[:, j]) for j in range(families))], names=["doc_id", "row_key", "text_key", *names])
+
+    names = [f"fp{j}" for j in range(families)]
+    text = text_bytes()
+    told = docs.select(F.col("doc_id").cast("long"), _row_key(F.col("doc_id"), text).alias("row_key"), F.md5(text).alias("text_key"), text.alias("text"))
+    rows = stored(told.mapInArrow(run, "doc_id long, row_key string, text_key string, " + ", ".join(f"{n} long" for n in names)), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
+    texts = stored(rows.groupBy("text_key").agg(first, *[F.min(n).alias(n) for n in names]), "simhash-texts")
+    pairs = None
+    for n in names:
+        heads = texts.groupBy(F.col(n).alias("fp")).agg(F.min("text_key").alias("head"))
+        same = texts.join(heads, F.col(n) == F.col("fp")).where("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
+        near = links(heads).join(heads.toDF("a", "a_head"), "a").join(heads.toDF("b", "b_head"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+        found = same.unionByName(near)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    alike = similar_texts(docs, texts.select("text_key", "best.row_key"), pairs, words, similarity)
+    of = components(alike).toDF("node", "component")
+    best = texts.join(of, F.col("text_key") == F.col("node"), "left").groupBy(F.coalesce("component", "text_key").alias("group")).agg(F.min("best").alias("best"))
+    keep = best.select(F.col("best.row_key").alias("keep_key"))
+    whole = docs.select(_row_key(F.col("doc_id"), text).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kept = whole.join(keep, F.col("row_key") == F.col("keep_key"), "left_semi").dropDuplicates(["row_key"])
+    return kept.select("doc.*")

@@ -1,6 +1,7 @@
 """The pipeline on a small corpus, each stage against brute force."""
 
 from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
 from farandole.llm import langid, mixing, quality, simhash
@@ -24,12 +25,18 @@ def test_stages(spark):
     assert {r.doc_id for r in known.collect()} == {r.doc_id for r in langid.languages(kept).collect() if r.lang_pred != "und" and r.score >= 0.5}
 
     single = steps["near_duplicates"](spark, known, SF).cache()
-    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode(), 5) % (1 << 64) for r in known.collect()}
-    first: dict = {}
-    for i in sorted(fps):  # no chains here: what is near a kept one goes
-        if not any((fps[i] ^ f).bit_count() <= 3 for f in first.values()):
-            first[i] = fps[i]
-    assert single.columns == columns and {r.doc_id for r in single.collect()} == set(first)
+    texts = {r.doc_id: (r.text or "").encode() for r in known.collect()}
+    fps = {i: [f % (1 << 64) for f in simhash.word_fingerprints(t, simhash.FAMILIES)] for i, t in texts.items()}
+    sets = {i: set(simhash.shingles(t, 5).tolist()) for i, t in texts.items()}
+    of = {i: i for i in texts}
+    for i, j in combinations(sorted(texts), 2):
+        near = any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j], strict=True))
+        if texts[i] == texts[j] or near and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            low, high = sorted((of[i], of[j]))
+            of = {k: low if v == high else v for k, v in of.items()}
+    first = set(of.values())
+    assert len(first) < len(texts)
+    assert single.columns == columns and {r.doc_id for r in single.collect()} == first
 
     mixed = steps["mixing"](spark, single, SF).cache()
     want = Counter()
