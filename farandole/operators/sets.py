@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farandole.functions.columns import haversine, overlaps
 from farandole.plans.feed import Feed
+from farandole.scratch import stored
 
 
 def ids(rows: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -63,3 +64,17 @@ def within(rows: DataFrame, lon: float, lat: float, metres: float) -> DataFrame:
 
 def page(rows: DataFrame, number: int, count: int, *order: str) -> DataFrame:
     return rows.orderBy(*(order or ("id",))).offset(number * count).limit(count)
+
+
+def indexed(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows with idx: their place from 0 in the total order.
+
+    A global range sort numbers rows within tasks; the tasks' totals (a row each) give offsets.
+    """
+    placed = stored(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "indexed")
+    task = F.shiftright("place", 33)
+    totals = placed.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("task", ahead.alias("ahead"))
+    out = placed.join(F.broadcast(offsets), task == F.col("task"))
+    return out.withColumn("idx", F.col("ahead") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("task", "ahead", "place")

@@ -794,10 +794,9 @@ def line_label(f: Feed) -> DataFrame:
     return rows.select("id", requests.line_label(F.col("network"), F.col("name"), F.col("id").cast("string"), F.col("name")).alias("label"))
 
 
-@query("SELECT id, row_number() OVER (ORDER BY network_id, split_part(name, '_', 1), split_part(name, '_', 2)::INT, id)::INT - 1 AS idx FROM line")
+@query("SELECT id, row_number() OVER (ORDER BY network_id, split_part(name, '_', 1), split_part(name, '_', 2)::INT, id) - 1 AS idx FROM line")
 def natural_line_order(f: Feed) -> DataFrame:
-    order = Window.orderBy("network_id", requests.natural_order(F.col("name")), "id")
-    return f.line.select("id", (F.row_number().over(order) - 1).alias("idx"))
+    return sets.indexed(f.line.withColumn("code", requests.natural_order(F.col("name"))), "network_id", "code", "id").select("id", "idx")
 
 
 @query("SELECT id, entity_id FROM event QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, id DESC) > 10 AND kind <> 'view'")

@@ -109,3 +109,14 @@ def test_feed(spark, tmp_path):
 def test_frequencies_wrap_midnight(spark):
     rows = spark.createDataFrame([(1, 86_000, 500, 400)], "id long, start int, end int, headway int")
     assert sorted(r.at for r in timetable.expanded_frequencies(rows, "id").collect()) == [0, 400, 86_000]
+
+
+def test_split_overtaking(spark):
+    from farandole.operators import details
+
+    times = {1: [(0, 0), (100, 100)], 2: [(10, 10), (90, 95)], 3: [(20, 20), (120, 120)], 4: [(30, 30), (110, 110)], 5: [(20, 20), (130, 130)]}
+    rows = [(t, k, a, d) for t, xs in times.items() for k, (a, d) in enumerate(xs)]
+    stop_times = spark.createDataFrame(rows, "trip_id long, rank int, arrival long, departure long")
+    patterns = spark.createDataFrame([(t, "p") for t in times], "trip_id long, pattern string")
+    got = {r.trip_id: r.part for r in details.split_overtaking(stop_times, patterns).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 5: 2, 4: 1}
