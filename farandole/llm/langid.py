@@ -77,16 +77,17 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def features(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(counts)
-        v = (1 + np.log(counts[at])) * self.idf[at]
-        return at, v / np.sqrt((v**2).sum())
+    def weighted(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """TF-IDF weights of the columns `at`, of length 1."""
+        v = (1 + np.log(counts)) * self.idf[at]
+        return v / np.sqrt((v**2).sum())
 
     def predict(self, text: bytes) -> tuple[str, float]:
         counts = gram_counts(text) if self.langs else None
         if counts is None:
             return UNDETERMINED, 0.0
-        at, v = self.features(counts)
+        at = np.flatnonzero(counts)
+        v = self.weighted(at, counts[at])
         p = _softmax((v @ self.weights[at] + self.bias) / self.temperature)
         best = int(p.argmax())
         return self.langs[best], float(p[best])
@@ -97,11 +98,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(langs: list[str], counted: list[np.ndarray], target: np.ndarray, idf: np.ndarray) -> Model:
-    """Follow-the-regularised-leader over the counted rows, then the temperature."""
+def train(langs: list[str], counted: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, idf: np.ndarray) -> Model:
+    """Follow-the-regularised-leader over the rows (columns and their counts), then the temperature."""
     k = len(langs)
     model = Model(langs, idf, np.zeros((BINS, k)), np.zeros(k))
-    rows = [model.features(c) for c in counted]
+    rows = [(at, model.weighted(at, c)) for at, c in counted]
     kept = np.arange(len(rows)) % CALIBRATION == CALIBRATION - 1
     z, n = np.zeros((BINS + 1, k)), np.zeros((BINS + 1, k))  # the last row is the bias
 
@@ -170,10 +171,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     rows = texts.select("of_doc", "of_lang", text_bytes().alias("text")).mapInArrow(run, "of_doc long, of_lang string, counts binary").where("counts is not null")
     got = rows.toArrow().sort_by([("of_doc", "ascending"), ("of_lang", "ascending")]).to_pydict()
     langs = sorted(set(got["of_lang"]))
-    counted = []
-    for packed in got["counts"]:
-        at, c = np.frombuffer(packed, np.int32).reshape(2, -1)
-        counted.append(np.bincount(at, c, BINS))
+    counted = [tuple(np.frombuffer(packed, np.int32).reshape(2, -1)) for packed in got["counts"]]
     return train(langs, counted, np.array([langs.index(x) for x in got["of_lang"]], np.int64), idf)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import sliced, text_bytes
 
 #: Payloads are filled with zero bytes to a positive multiple of this.
 BLOCK = 64
@@ -210,7 +210,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     unknown (declared)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             waves = [wave_of(x + b"\0" * (-len(x) % BLOCK if x else BLOCK)) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(waves, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -228,7 +228,7 @@ def sniffed(media: DataFrame, keep: list[str], value: str = "media", declared: s
     past the first are embedded ones, to be carved by offset and length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [sniff(v or b"") for v in batch.column(value).to_pylist()]
             types = [f[0][0] if f and not f[0][1] else UNKNOWN for f in found]
             right = [t != d for t, d in zip(types, batch.column(declared).to_pylist(), strict=True)]
@@ -248,7 +248,7 @@ def features(media: DataFrame) -> DataFrame:
     """Payload features of stored texts, read back from the media bytes at the sniffed place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc, n, wave, kind, right, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "type", "corrected", "found")), strict=True):
                 samples = wave_samples(wave, found[0]["offset"], found[0]["length"]) if kind == "audio/wav" else b""

@@ -81,15 +81,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
 def _emitted(fps: DataFrame) -> DataFrame:
-    """Each fingerprint's 131 keys: (key, fp)."""
-    keys = []
-    for tag, (first, bits) in enumerate(BLOCKS):
-        left_out = ((1 << bits) - 1) << first
-        for flip in [0, *(1 << k for k in range(64) if not left_out >> k & 1)]:
-            keys.append((_signed(~left_out & (1 << 64) - 1), _signed(flip | tag << first)))
-    variants = F.explode(F.array(*[F.struct(F.lit(keep).cast("long").alias("keep"), F.lit(flip).cast("long").alias("flip")) for keep, flip in keys])).alias("v")
-    return fps.select("fp", variants).select(F.col("fp").bitwiseAND(F.col("v.keep")).bitwiseXOR(F.col("v.flip")).alias("key"), "fp")
+    """Each fingerprint's 131 keys: (key, fp). Keys of a block are its fingerprint with the block's
+    bits replaced by the block's number, as it is and with each other bit flipped."""
+    first, keep, flip, tag = 0, F.lit(0), F.lit(0), F.lit(0)
+    for n, (low, bits) in enumerate(BLOCKS):
+        last = first + 64 - bits
+        here = F.col("v").between(first, last)
+        k = F.col("v") - (first + 1)
+        bit = F.when(k < low, k).otherwise(k + bits)
+        mask = ~(((1 << bits) - 1) << low) & (1 << 64) - 1
+        keep = F.when(here, F.lit(_signed(mask)).cast("long")).otherwise(keep)
+        flip = F.when(here, F.when(k < 0, F.lit(0).cast("long")).otherwise(_bit(bit))).otherwise(flip)
+        tag = F.when(here, F.lit(n << low).cast("long")).otherwise(tag)
+        first = last + 1
+    keys = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(first - 1))).alias("v"))
+    return keys.select(F.col("fp").bitwiseAND(keep).bitwiseXOR(flip).bitwiseXOR(tag).alias("key"), "fp")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -174,13 +185,13 @@ def _meetings(radius: int, most: int):
 
 def _dense_links(fps: DataFrame) -> DataFrame:
     """All links between the given fingerprints, as stars around the variants where they meet."""
-    one = "transform(sequence(0, 63), k -> named_struct('flip', shiftleft(1L, k), 'r', 1))"
-    two = "flatten(transform(sequence(1, 63), k -> transform(sequence(0, k - 1), j -> named_struct('flip', shiftleft(1L, k) | shiftleft(1L, j), 'r', 2))))"
-    none = "array(named_struct('flip', 0L, 'r', 0))"
-    odd = (F.bit_count("fp") % 2 == 1).alias("odd")
-    variants = (F.expr(f"explode(concat({none}, {one}))"), F.expr(f"explode(concat({none}, {one}, {two}))"))
-    balls = [fps.where(F.bit_count("fp") % 2 == parity).select("fp", odd, v.alias("v")) for parity, v in enumerate(variants)]
-    met = balls[0].unionByName(balls[1]).select("fp", "odd", F.col("v.r").alias("r"), F.col("fp").bitwiseXOR(F.col("v.flip")).alias("key"))
+    odd = F.bit_count("fp") % 2 == 1
+    # 0 is the fingerprint itself, 1 to 64 flip one bit, 65 to 2080 flip bits j < k.
+    balls = fps.select("fp", odd.alias("odd"), F.explode(F.sequence(F.lit(0), F.when(odd, 2080).otherwise(64))).alias("v"))
+    pair = F.col("v") - 65
+    k = F.floor((F.sqrt(pair * 8 + 1) + 1) / 2).cast("int")
+    flip = F.when(F.col("v") == 0, F.lit(0).cast("long")).when(F.col("v") <= 64, _bit(F.col("v") - 1)).otherwise(_bit(k).bitwiseOR(_bit((pair - k * (k - 1) / 2).cast("int"))))
+    met = balls.select("fp", "odd", F.when(F.col("v") == 0, 0).when(F.col("v") <= 64, 1).otherwise(2).alias("r"), F.col("fp").bitwiseXOR(flip).alias("key"))
     hubs = met.groupBy(F.col("key").alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("odd"), F.col("fp"))).alias("even"), F.min(F.when(F.col("r") < 2, F.col("fp"))).alias("near")).where("n > 1")
     joined = met.join(hubs, F.col("key") == F.col("at"))
     return joined.select(F.col("fp").alias("a"), F.when(F.col("even").isNotNull(), F.col("even")).when(F.col("r") < 2, F.col("near")).alias("b")).where("a <> b").distinct()
@@ -191,7 +202,7 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = MEETING) -> DataFram
     met = _emitted(fps.select("fp").distinct()).repartition("key").sortWithinPartitions("key", "fp")
     met = stored(met.mapInArrow(_meetings(radius, most), "a long, b long"), "simhash-links")
     dense = met.where("b is null").select(F.col("a").alias("fp")).distinct()
-    return met.where("b is not null").unionByName(_dense_links(dense))
+    return met.where("b is not null").unionByName(stored(_dense_links(dense), "simhash-dense"))
 
 
 def groups(rows: DataFrame, radius: int = RADIUS, most: int = MEETING) -> DataFrame:
@@ -287,7 +298,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float =
         heads = texts.groupBy(F.col(n).alias("fp")).agg(F.min("text_key").alias("head"))
         same = texts.join(heads, F.col(n) == F.col("fp")).where("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
         near = links(heads).join(heads.toDF("a", "a_head"), "a").join(heads.toDF("b", "b_head"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-        found = same.unionByName(near)
+        found = stored(same.unionByName(near), "simhash-candidates")
         pairs = found if pairs is None else pairs.unionByName(found)
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
     alike = similar_texts(docs, texts.select("text_key", "best.row_key"), pairs, words, similarity)
