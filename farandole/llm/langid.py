@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, text_bytes
+from .common import crc32_of, sliced, text_bytes
 
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 5, 0
@@ -139,7 +139,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(BINS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 counts = gram_counts(text)
                 if counts is not None:
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     texts = seen.join(F.broadcast(chosen), (F.col("doc_id") == F.col("of_doc")) & (F.col("lang") == F.col("of_lang"))).groupBy("of_doc", "of_lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts = [gram_counts(t) for t in batch.column(2).to_pylist()]
             packed = [None if c is None else np.stack([at := np.flatnonzero(c), c[at]]).astype(np.int32).tobytes() for c in counts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["of_doc", "of_lang", "counts"])
@@ -180,7 +180,7 @@ def predicted(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [told.value.predict(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=[*keep, "lang_pred", "score"])
 

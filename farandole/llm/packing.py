@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import sliced, stored, text_bytes
 
 #: Tokens of a sequence.
 WINDOW = 4096
@@ -36,7 +36,7 @@ WINDOW = 4096
 END_ID = 2
 #: Words, and parts of words, that a worker keeps ids of: at most twice so many, in two
 #: generations, of which the older goes when the younger is full. Longer ones aren't kept.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 CACHE_CHARS = 64
 #: Bytes of text that are looked up together.
 LOOKUP_BYTES = 1 << 20
@@ -155,7 +155,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, before = tokenizer(path), TaskContext.get().partitionId(), 0
         end, width = words.packed([END_ID]), words.dtype.itemsize
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [x + end for x in words.ids(batch.column(1).to_pylist())]
             sizes = np.array([len(x) // width for x in ids], np.int64)
             starts = before + np.cumsum(sizes) - sizes
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     placed = rows.join(F.broadcast(totals), F.col("task") == F.col("of_task")).select("doc_id", (F.col("before") + F.col("ahead")).alias("place"), "n_tokens", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for doc, place, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(ids, told).astype("<u4").tobytes()

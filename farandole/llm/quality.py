@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, text_bytes
+from .common import crc32_of, sliced, text_bytes
 
 #: Labelled rows that the fit takes at most.
 TRAIN_ROWS = 20_000
@@ -155,7 +155,7 @@ def _measured(docs: DataFrame, keep: list[str], schema: str) -> DataFrame:
     """The kept columns and the statistics of text_bytes as packed doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             stats = [np.array(statistics(t)).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(stats, pa.binary())], names=[*keep, "stats"])
 
@@ -180,7 +180,7 @@ def scored(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> Data
     names = keep or ["doc_id", "held_out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([statistics(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.value.score(x))], names=[*names, "score"])
 
