@@ -13,8 +13,10 @@ fingerprints of even parity emit all variants within one flip and odd ones all w
 whatever meets at a variant together with an even one is linked to it, and a star of links is
 enough; such a ball never holds more than 65 + 2081 fingerprints.
 
-The pipeline's stage (without_near_duplicates) takes three fingerprints of each text's set of
-words for candidates and verifies them by the similarity of their five-word shingles.
+The pipeline's stage (without_near_duplicates) has a rule of its own: five-word shingles of a
+Jaccard similarity of 0.8. Its candidates don't come from fingerprints, which miss such pairs, but
+from prefix filtering, which is complete: texts as similar as that share one of the first fifth
+of their shingles in a common order. Each candidate pair that isn't connected yet is verified.
 
 Exact copies share a fingerprint, and everything above runs on distinct fingerprints. Groups are
 the connected components of the links.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sliced, small, stored, text_bytes
@@ -44,9 +46,14 @@ SEED = 42
 #: Fingerprints of a key that are compared with each other; beyond it the exact way for dense
 #: families is taken.
 MEETING = 64
-#: Independent fingerprints of a text that the pipeline's stage links: what one of them misses
-#: another one may find.
+#: Independent fingerprints of a text's set of words.
 FAMILIES = 3
+#: Words whose hashes a worker keeps; slots that tell common shingles and one in how many texts they
+#: are counted on; how many times as many representatives each further round compares.
+CACHED = 50_000
+SLOTS = 1 << 19
+SAMPLED = 4
+HUBS = 8
 #: First bit and number of bits of the blocks of which one is left out.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 
@@ -243,13 +250,31 @@ def word_fingerprints(text: bytes, families: int) -> list[int]:
     return out
 
 
+class _Words(dict):
+    """Hashes of words seen in this worker, bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word, SEED)
+        return h
+
+
+_words = _Words()
+
+
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; one of a text with fewer words."""
-    from xxhash import xxh64_intdigest
-
     w = text.lower().split()
-    each = {b" ".join(x) for x in zip(*(w[k:] for k in range(words)), strict=False)} or {b" ".join(w)}
-    return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in each), np.uint64, len(each)).view(np.int64))
+    h = np.fromiter(map(_words.__getitem__, w), np.uint64, len(w))
+    n = max(1, len(w) - words + 1)
+    out = np.full(n, min(len(w), words), np.uint64)
+    for k in range(min(len(w), words)):
+        out = (out ^ h[k : k + n]) * np.uint64(0x7FB5D329728EA185)
+        out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
@@ -257,53 +282,120 @@ def _row_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), F.lit("|").cast("binary"), text))
 
 
-def similar_texts(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of texts (text_key, row_key) whose shingles' Jaccard similarity
-    reaches the bound. Only documents that occur in a pair are read into the join."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct().join(texts, "text_key").select(F.col("row_key").alias("asked"), "text_key")
-    read = docs.select(_row_key(F.col("doc_id"), text_bytes()).alias("row_key"), text_bytes().alias("text")).join(small(asked), F.col("row_key") == F.col("asked"))
+def least_shared(size: int, similarity: float) -> int:
+    """Shingles that a set of that size shares at least with any set as similar as the bound."""
+    return int(np.ceil(similarity * size - 1e-9))
+
+
+def _common(told: DataFrame, words: int) -> bytes:
+    """For each of SLOTS hash slots a level: the binary logarithm of how often shingles of sampled
+    texts fall into it. It only puts common shingles last; any levels give the same results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in sliced(batches):
+            for t in batch.column(0).to_pylist():
+                counts[shingles(t, words) & (SLOTS - 1)] += 1
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots])], names=["slot", "n"])
+
+    counted = told.where(F.pmod(F.xxhash64("row_key"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "slot int, n long")
+    heavy = counted.groupBy("slot").agg(F.sum("n").alias("n")).select("slot", F.floor(F.log2("n")).cast("int").alias("level")).where("level > 2").toPandas()
+    levels = np.zeros(SLOTS, np.uint8)
+    levels[heavy["slot"].to_numpy(np.int64)] = heavy["level"].to_numpy(np.uint8)
+    return levels.tobytes()
+
+
+def _meeting_texts(told: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(token, id, size, nth) of the texts (id, row_key) that may reach the bound, complete: two
+    sets as similar as the bound share a shingle among the first size - least_shared + 1 of each
+    one's in any common order. Of the tokens at which the same texts meet, one is kept."""
+    levels = _common(told, words)
+    read = told.join(small(texts.select("id", F.col("row_key").alias("of_row"))), F.col("row_key") == F.col("of_row")).select("id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(levels, np.uint8)
+        for batch in sliced(batches):
+            sizes, first = [], []
+            for t in batch.column(1).to_pylist():
+                own = shingles(t, words)
+                order = np.lexsort((own, level[own & (SLOTS - 1)]))
+                sizes.append(len(own))
+                first.append(own[order[: len(own) - least_shared(len(own), similarity) + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "size", "tokens"])
+
+    tokens = read.mapInArrow(run, "id long, size int, tokens array<long>").select(F.explode("tokens").alias("token"), "id", "size")
+    mark = F.xxhash64("id")
+    half = F.lit((1 << 32) - 1)
+    met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(mark.bitwiseAND(half)).alias("x"), F.sum(F.shiftrightunsigned(mark, 32)).alias("y")).where("low < high")
+    kept = stored(met.groupBy("n", "low", "high", "x", "y").agg(F.min("token").alias("kept")).select("kept"), "near-tokens")
+    rows = tokens.join(small(kept), F.col("token") == F.col("kept"), "left_semi").distinct()
+    return stored(rows.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("id"))), "near-meetings")
+
+
+def _shingle_sets(told: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the asked texts (id, row_key)."""
+    read = told.join(small(asked.select("id", F.col("row_key").alias("of_row"))), F.col("row_key") == F.col("of_row")).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return stored(read.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]), "near-shingles")
+
 
-    sets = stored(read.select("text_key", "text").mapInArrow(run, "text_key string, shingles array<long>").dropDuplicates(["text_key"]), "simhash-shingles")
-    left, right = (sets.select(F.col("text_key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingles' Jaccard similarity reaches the bound."""
+    left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("a_set", "b_set")))
     return both.where(F.col("same") >= similarity * (F.size("a_set") + F.size("b_set") - F.col("same"))).select("a", "b")
 
 
-def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = FAMILIES) -> DataFrame:
-    """docs, of each group of near-duplicates only the document with the smallest doc_id.
+def similar_groups(told: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, component): ids of texts that pairs as similar as the bound connect, complete.
 
-    Near-duplicates are connected by pairs of texts whose shingles' similarity reaches the bound.
-    Candidates are texts of which some family's fingerprints link; fingerprints are of word sets,
-    since a change of one word moves several shingles, but one word. Every candidate is verified.
+    told has row_key and text, texts id and row_key. Of texts that meet, the first few of each
+    meeting are compared with all later ones, then more of them, until every two that meet were
+    compared or are connected already: a dense family is connected by its first rounds, and no
+    pair is left out for having failed against a representative.
     """
+    met = _meeting_texts(told, texts, words, similarity)
+    sets = _shingle_sets(told, texts.join(met.select("id").distinct(), "id", "left_semi"), words)
+    found, asked, of = None, None, None
+    done, most = 0, 1
+    while True:
+        # Only meetings of several components have pairs left.
+        now = met.withColumn("component", F.col("id")) if of is None else met.join(of, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).select(*met.columns, "component")
+        open_ = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("nth").alias("last")).where(f"low < high and last > {done + 1}").select("token")
+        now = stored(now.join(open_, "token", "left_semi"), "near-open")
+        if now.isEmpty():
+            break
+        met = now.select(*met.columns)
+        hubs = now.where((F.col("nth") > done) & (F.col("nth") <= most)).select("token", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("nth").alias("a_nth"), F.col("component").alias("a_component"))
+        close = (F.least("a_size", "size") >= similarity * F.greatest("a_size", "size") - 1e-9) & (F.col("a_component") != F.col("component"))
+        pairs = now.join(hubs, "token").where((F.col("nth") > F.col("a_nth")) & close).select("a", F.col("id").alias("b")).distinct()
+        pairs = stored(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "near-pairs")
+        alike = stored(_similar(pairs, sets, similarity), "near-alike")
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        found = alike if found is None else found.unionByName(alike)
+        of = components(found)
+        done, most = most, most * HUBS
+    return of if of is not None else texts.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, of each group of near-duplicates only the document with the smallest doc_id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            fps = np.array([word_fingerprints(t, families) for t in batch.column(3).to_pylist()], np.int64).reshape(-1, families)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(fps[:, j]) for j in range(families))], names=["doc_id", "row_key", "text_key", *names])
-
-    names = [f"fp{j}" for j in range(families)]
+    Near-duplicates are connected by pairs of texts whose shingles' similarity reaches the bound;
+    every such pair counts.
+    """
     text = text_bytes()
-    told = docs.select(F.col("doc_id").cast("long"), _row_key(F.col("doc_id"), text).alias("row_key"), F.md5(text).alias("text_key"), text.alias("text"))
-    rows = stored(told.mapInArrow(run, "doc_id long, row_key string, text_key string, " + ", ".join(f"{n} long" for n in names)), "simhash-rows")
+    told = docs.select(F.col("doc_id").cast("long"), _row_key(F.col("doc_id"), text).alias("row_key"), text.alias("text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
-    texts = stored(rows.groupBy("text_key").agg(first, *[F.min(n).alias(n) for n in names]), "simhash-texts")
-    pairs = None
-    for n in names:
-        heads = texts.groupBy(F.col(n).alias("fp")).agg(F.min("text_key").alias("head"))
-        same = texts.join(heads, F.col(n) == F.col("fp")).where("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
-        near = links(heads).join(heads.toDF("a", "a_head"), "a").join(heads.toDF("b", "b_head"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-        found = stored(same.unionByName(near), "simhash-candidates")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    alike = similar_texts(docs, texts.select("text_key", "best.row_key"), pairs, words, similarity)
-    of = components(alike).toDF("node", "component")
-    best = texts.join(of, F.col("text_key") == F.col("node"), "left").groupBy(F.coalesce("component", "text_key").alias("group")).agg(F.min("best").alias("best"))
+    texts = stored(told.groupBy(F.md5("text").alias("text_key")).agg(first).select("best", F.monotonically_increasing_id().alias("id")), "near-texts")
+    of = similar_groups(told, texts.select("id", "best.row_key"), words, similarity)
+    best = texts.join(of, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.row_key").alias("keep_key"))
     whole = docs.select(_row_key(F.col("doc_id"), text).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     kept = whole.join(keep, F.col("row_key") == F.col("keep_key"), "left_semi").dropDuplicates(["row_key"])
