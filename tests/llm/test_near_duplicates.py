@@ -34,6 +34,19 @@ def mutated(rng, words, changes):
     return words
 
 
+def test_every_pair_of_the_rule(spark):
+    """Copies near the bound: three fingerprints of 3 bits missed some."""
+    rng, texts = random.Random(5), {}
+    for n in range(120):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((12, 30, 50, 60, 120, 300)))]
+        for k in range(2):
+            texts[2 * n + k] = " ".join(mutated(rng, words, k * max(1, len(words) // 55)))
+    want, pairs, _ = brute(texts)
+    fps = {i: [f % (1 << 64) for f in simhash.word_fingerprints(t.encode(), simhash.FAMILIES)] for i, t in texts.items()}
+    assert any(all((a ^ b).bit_count() > 3 for a, b in zip(fps[i], fps[j], strict=True)) for i, j in pairs)
+    assert kept(spark, texts) == want
+
+
 def test_members_pass_where_hubs_fail(spark):
     """Texts of 54 shingles: groups B differ among each other by one word at an end, and from every
     representative that comes first by far more; groups of equal word sets are among them."""
@@ -51,3 +64,9 @@ def test_members_pass_where_hubs_fail(spark):
     want, pairs, sets = brute(texts)
     assert (201, 202) in pairs and all(jaccard(sets[0], sets[i]) < 0.8 for i in texts if i > 0)
     assert kept(spark, texts) == want
+
+
+def test_check_tables(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(600).collect()
+    texts = {r.doc_id: r.text or "" for r in rows}
+    assert kept(spark, texts) == brute(texts)[0]
