@@ -3,8 +3,8 @@
 Sniffing: an Aho-Corasick automaton over all magic bytes finds candidate starts in one pass over
 a value; each candidate is handed to its format's validator, which reads the structure and the
 length it declares. A candidate that doesn't hold to its format is noise. A valid file at the
-start gives the value's true type, whatever was declared; valid files at other places that no
-earlier valid file covers are carved as embedded media.
+start gives the value's true type, whatever was declared; valid files at other places are carved
+as embedded media, those within another valid file too, at any depth.
 
 Storing: a payload of bytes becomes the 8-bit samples of a mono WAVE file, without loss.
 
@@ -128,12 +128,12 @@ def _gzip(b: bytes, at: int) -> int:
 
 
 def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    good = at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b)
-    return end + 22 + note - at if good else 0
+    end = at
+    while (end := b.find(b"PK\x05\x06", end + 1)) >= 0 and end + 22 <= len(b):  # a stored zip has one of its own
+        size, start, note = struct.unpack_from("<IIH", b, end + 12)
+        if at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+            return end + 22 + note - at
+    return 0
 
 
 def _pdf(b: bytes, at: int) -> int:
@@ -174,23 +174,34 @@ def _automaton():
     return _automata[0]
 
 
-def sniff(value: bytes) -> list[tuple[str, int, int]]:
-    """Valid files in the value, in order of place: (type, offset, length); none within another."""
-    out, free = [], 0
+def nested(value: bytes) -> list[tuple[str, int, int, int, int]]:
+    """Valid files in the value, in order of place: (type, offset, length, depth, parent). A file
+    within another one has that one's depth plus 1 and its place in this list as parent, else 0
+    and -1. What starts in a file has to end in it."""
+    out, open_ = [], []
     for last, magic in _automaton().iter(value.decode("latin-1")):
         at = last + 1 - len(magic)
-        if at >= free:
-            kind, valid = FORMATS[magic]
-            try:
-                n = valid(value, at)
-            except struct.error:
-                n = 0
-            if n:
-                out.append((kind, at, n))
-                free = at + n
+        while open_ and at >= out[open_[-1]][1] + out[open_[-1]][2]:
+            open_.pop()
+        end = out[open_[-1]][1] + out[open_[-1]][2] if open_ else len(value)
+        kind, valid = FORMATS[magic]
+        try:
+            n = valid(value, at)
+            if at + n > end:
+                n = valid(value[:end], at)
+        except struct.error:
+            n = 0
+        if n:
+            out.append((kind, at, n, len(open_), open_[-1] if open_ else -1))
+            open_.append(len(out) - 1)
     return out
 
 
+def sniff(value: bytes) -> list[tuple[str, int, int]]:
+    """Valid files in the value that are in no other one, in order of place: (type, offset, length)."""
+    return [f[:3] for f in nested(value) if not f[3]]
+
+
 def wave_of(payload: bytes) -> bytes:
     n = len(payload)
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n + n % 2, b"WAVE", b"fmt ", 16, 1, 1, SAMPLE_RATE, SAMPLE_RATE, 1, 8, b"data", n) + payload + b"\0" * (n % 2)
@@ -219,20 +230,20 @@ def text_media(docs: DataFrame) -> DataFrame:
     return rows.withColumn("declared", F.lit(UNKNOWN))
 
 
-SNIFFED = "type string, corrected boolean, found array<struct<type string, offset long, length long>>"
+SNIFFED = "type string, corrected boolean, found array<struct<type string, offset long, length long, depth int, parent int>>"
 
 
 def sniffed(media: DataFrame, keep: list[str], value: str = "media", declared: str = "declared") -> DataFrame:
     """The kept columns of media, its value and what was found in it: type (of the file at the
-    start), corrected (type differs from the declared one) and found (all valid files; those
-    past the first are embedded ones, to be carved by offset and length)."""
+    start), corrected (type differs from the declared one) and found (all valid files at any depth,
+    as nested() gives them; those past the first are embedded ones, to be carved by offset and length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [sniff(v or b"") for v in batch.column(value).to_pylist()]
+            found = [nested(v or b"") for v in batch.column(value).to_pylist()]
             types = [f[0][0] if f and not f[0][1] else UNKNOWN for f in found]
             right = [t != d for t, d in zip(types, batch.column(declared).to_pylist(), strict=True)]
-            spans = pa.array([[{"type": t, "offset": a, "length": n} for t, a, n in f] for f in found], pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])))
+            spans = pa.array([[dict(zip(("type", "offset", "length", "depth", "parent"), x, strict=True)) for x in f] for f in found], pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("depth", pa.int32()), ("parent", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(types), pa.array(right), spans], names=[*batch.schema.names, "type", "corrected", "found"])
 
     chosen = media.select(*keep, value, declared)
@@ -240,8 +251,8 @@ def sniffed(media: DataFrame, keep: list[str], value: str = "media", declared: s
 
 
 def carved(found: DataFrame, keep: list[str], value: str = "media") -> DataFrame:
-    """One row per file found: the kept columns, type, offset, length and its bytes."""
-    return found.select(*keep, value, F.explode("found").alias("f")).select(*keep, "f.type", "f.offset", "f.length", F.substring(value, F.col("f.offset").cast("int") + 1, F.col("f.length").cast("int")).alias("bytes"))
+    """One row per file found: the kept columns, type, offset, length, depth, parent and its bytes."""
+    return found.select(*keep, value, F.explode("found").alias("f")).select(*keep, "f.type", "f.offset", "f.length", "f.depth", "f.parent", F.substring(value, F.col("f.offset").cast("int") + 1, F.col("f.length").cast("int")).alias("bytes"))
 
 
 def features(media: DataFrame) -> DataFrame:
