@@ -10,7 +10,8 @@ always comes first.
 Nulls: a null url, and one without `://`, has empty host and path, fits no rule and has no
 aliases: allow. Null html has no edges. Repeated rows get equal verdicts. Rules of equal length:
 allow first. Very long urls and pages are read whole. An empty table gives no rows. Columns other
-than page_id, url and html are not read. Dot segments in links are kept as they are.
+than page_id, url and html are not read. Every matching tag of a page counts. Dot segments are
+removed where a path names a resource; a page's own rule sees its path as it is.
 """
 
 from __future__ import annotations
@@ -36,9 +37,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def _without_dots(path: Column) -> Column:
+    """The path less its segments . and .. (RFC 3986, 5.2.4)."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    dots = (F.element_at(parts, -1) == ".") | (F.element_at(parts, -1) == "..")
+    up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), up)
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.when(dots & (F.size(kept) > 0), F.concat(joined, F.lit("/"))).otherwise(joined)).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
     """What names a resource: `://host/path?query`; null for urls without a host."""
-    path = path_of(url)
+    path = _without_dots(path_of(url))
     query = F.coalesce(F.regexp_extract(url, _URL, 3), F.lit(""))
     return F.when(host_of(url) != "", F.concat(F.lit("://"), host_of(url), F.when(path == "", "/").otherwise(path), query))
 
@@ -65,10 +76,10 @@ def decided(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select(*[f"`{c}`" for c in urls.columns], F.col("best.rule").alias("rule"), F.when(F.col("best.allows"), "allow").when(F.col("best").isNotNull(), "block").alias("action"))
 
 
-def _tag(name: str, kind: str) -> Column:
-    """The first tag of that name that matches the kind; null if none does."""
+def _links(name: str, kind: str, link: str) -> Column:
+    """What the link pattern finds in each tag of that name that matches the kind."""
     tags = F.regexp_extract_all("html", F.lit(rf"(?is)(<{name}\b[^>]*>)"), F.lit(1))
-    return F.try_element_at(F.filter(tags, lambda t: t.rlike(kind)), F.lit(1))
+    return F.transform(F.filter(tags, lambda t: t.rlike(kind)), lambda t: F.regexp_extract(t, link, 1))
 
 
 def _resolved(link: Column, url: Column) -> Column:
@@ -88,10 +99,12 @@ def _resolved(link: Column, url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) between a page and the target of its canonical link or refresh tag."""
-    canonical = F.regexp_extract(_tag("link", r"(?i)\brel\s*=\s*[\"']?canonical\b"), r"(?is)\bhref\s*=\s*[\"']?([^\"'>\s]*)", 1)
-    refresh = F.regexp_extract(_tag("meta", r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"), r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]*)", 1)
-    told = pages.where("html is not null").select("url", F.explode(F.array(canonical, refresh)).alias("link")).where("link <> ''")
+    """(a, b) between a page and the targets of its canonical links and refresh tags."""
+    # The token may stand anywhere in the list; a value without quotes is one token.
+    rel = r"""(?is)\brel\s*=\s*(?:"(?:[^">]*\s)?canonical\b|'(?:[^'>]*\s)?canonical\b|canonical\b)"""
+    canonical = _links("link", rel, r"(?is)\bhref\s*=\s*[\"']?([^\"'>\s]*)")
+    refresh = _links("meta", r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]*)")
+    told = pages.where("html is not null").select("url", F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("link")).where("link <> ''")
     return told.select(node_of(F.col("url")).alias("a"), node_of(_resolved(F.col("link"), F.col("url"))).alias("b")).where("a <> b")
 
 
