@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,16 +111,20 @@ def split_overtaking(stop_times: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         trips = sorted((g.sort_values("rank")[["arrival", "departure"]].to_numpy().ravel().tolist(), t) for t, g in pdf.groupby("trip_id"))
-        parts: list[list[list[int]]] = []
-        out = []
+        # In this order no trip is ahead of an earlier one at the first stop, so it has to be behind a
+        # whole part at all stops: behind the part's last trip, which is behind the others.
+        width = len(trips[0][0]) if trips else 0
+        last = np.empty((16, width), np.int64)
+        used, out = 0, []
         for times, trip in trips:
-            for n, part in enumerate(parts):
-                if all(all(a < b for a, b in zip(x, times, strict=True)) or all(a > b for a, b in zip(x, times, strict=True)) for x in part):
-                    part.append(times)
-                    break
-            else:
-                n = len(parts)
-                parts.append([times])
+            now = np.array(times, np.int64)
+            behind = (last[:used] < now).all(axis=1)
+            n = int(behind.argmax()) if behind.any() else used
+            if n == used:
+                used += 1
+                if used > len(last):
+                    last = np.concatenate([last, np.empty_like(last)])
+            last[n] = now
             out.append((trip, n))
         return pd.DataFrame(out, columns=["trip_id", "part"])
 
