@@ -32,15 +32,21 @@ def interned(days: DataFrame, key: str) -> DataFrame:
 
 
 def similar_calendars(objects: DataFrame, calendars: DataFrame, group: str, threshold: float) -> DataFrame:
-    """(object, calendar) of one group whose day masks differ on at most round(threshold * days)."""
-    differing = F.bit_count(F.col("mask").bitwiseXOR(F.col("calendar_mask")))
-    return objects.join(calendars, group).where(differing <= F.round(F.bit_count("mask") * threshold)).select("object", "calendar", differing.alias("differing"))
-
-
-def day_mask(days: DataFrame, key: str, first: Column) -> DataFrame:
-    """(key, mask): bit d is set if the key is valid d days after the first one, for 63 days."""
-    offset = F.datediff("day", first)
-    return days.where(offset.between(0, 62)).groupBy(key).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), offset)).alias("mask"))
+    """(object, calendar, differing) of one group whose whole day sets, rows (group, object, day) and
+    (group, calendar, day), differ on at most round(threshold * days of the object)."""
+    left, right = _day_blocks(objects, group, "object"), _day_blocks(calendars, group, "calendar").withColumnRenamed("mask", "other")
+    shared = left.join(right, [group, "block"]).groupBy(group, "object", "calendar").agg(F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("other")))).alias("both"))
+    n, m = (x.groupBy(group, c).agg(F.sum(F.bit_count(k)).alias(c[0])) for x, c, k in ((left, "object", "mask"), (right, "calendar", "other")))
+    pairs = n.join(m, group).join(shared, [group, "object", "calendar"], "left")
+    differing = (F.col("o") + F.col("c") - 2 * F.coalesce("both", F.lit(0))).cast("int")
+    return pairs.where(differing <= F.round(F.col("o") * threshold)).select("object", "calendar", differing.alias("differing"))
+
+
+def _day_blocks(days: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key, block, mask): bit d is set if the key is valid on day d of the block of 63 days."""
+    offset = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(offset, F.lit(63)))
+    return days.groupBy(group, key, F.floor(offset / 63).alias("block")).agg(F.bit_or(bit).alias("mask"))
 
 
 def offset_periods(days: DataFrame, zone: str) -> DataFrame:

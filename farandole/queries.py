@@ -200,9 +200,10 @@ def validity_interned(f: Feed) -> DataFrame:
     n AS (SELECT line_id AS "group", route_id AS object, mask FROM m JOIN route ON route.id = route_id)
     SELECT a.object, b.object AS calendar, bit_count(xor(a.mask, b.mask))::INT AS differing FROM n a JOIN n b ON a."group" = b."group" WHERE bit_count(xor(a.mask, b.mask)) <= round(bit_count(a.mask) * 0.5)""")
 def calendar_match(f: Feed) -> DataFrame:
-    masks = periods.day_mask(periods.days_of(_periods(f), "route_id", F.col("mask")), "route_id", F.lit("1998-01-01").cast("date"))
-    rows = masks.join(f.route.select(F.col("id").alias("route_id"), F.col("line_id").alias("group")), "route_id").withColumnRenamed("route_id", "object")
-    return periods.similar_calendars(rows, rows.select("group", F.col("object").alias("calendar"), F.col("mask").alias("calendar_mask")), "group", 0.5)
+    """Of the 63 days that the SQL compares; the operator takes whole day sets."""
+    days = periods.days_of(_periods(f), "route_id", F.col("mask")).where("day between '1998-01-01' and '1998-03-04'")
+    rows = days.join(f.route.select(F.col("id").alias("route_id"), F.col("line_id").alias("group")), "route_id").withColumnRenamed("route_id", "object")
+    return periods.similar_calendars(rows, rows.withColumnRenamed("object", "calendar"), "group", 0.5)
 
 
 @query("""WITH d AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2025-12-31', INTERVAL 1 DAY))::DATE AS day),
