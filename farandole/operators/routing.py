@@ -36,8 +36,8 @@ def earliest_arrivals(stop_times: DataFrame, seeds: DataFrame, connections: Data
 
 
 def isochrone(labels: DataFrame, start: int, duration: int) -> DataFrame:
-    """(stop_id, duration, transfers) of each stop reached within the duration; transfers are the
-    rounds less one."""
+    """(stop_id, duration, transfers) of each stop that the labels reach within the duration; transfers
+    are the rounds less one. Labels of few rounds lack what a further ride reaches."""
     best = labels.groupBy("stop_id").agg(F.min(F.struct("arrival", "round")).alias("b"))
     return best.select("stop_id", (F.col("b.arrival") - start).alias("duration"), F.greatest(F.lit(0), F.col("b.round") - 1).alias("transfers")).where(F.col("duration") <= duration)
 
