@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -148,18 +149,44 @@ def test_packing(spark, odd_docs, no_docs):
     assert crcs == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def each(w, texts):
+    ids, counts = w.ids(pa.array([t.encode() for t in texts], pa.binary()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
 def test_ids_of_any_text():
     w, rng = packing.WordTokenizer(WORDS), np.random.default_rng(2)
+    assert w.by_word
     letters = [chr(k) for k in range(256)] + list("'s 't're \u0301\u4e2d\u03a3\u0130abcdefg.,") * 4
-    texts = ["".join(rng.choice(letters, rng.integers(0, 25))) for _ in range(3000)] + ["y" * 3000 + " x"]
-    for text, ids in zip(texts, w.ids([t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(ids, w.dtype).tolist() == w.library.encode(text, add_special_tokens=False).ids, repr(text)
+    latin = [chr(k) for k in range(2, 28)] + [chr(k) for k in range(32, 256)] + list("'s 't're abcdefg.,  ") * 12
+    for some in (letters, latin):
+        texts = ["".join(rng.choice(some, rng.integers(0, 25))) for _ in range(3000)] + ["y" * 3000 + " x", "", " "]
+        for text, ids in zip(texts, each(w, texts), strict=True):
+            assert ids == w.library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert each(w, []) == [[]]
+    ids, _ = w.ids(pa.array([b"a\xff\xc3 b"], pa.binary()))
+    assert ids.tolist() == w.library.encode("a\ufffd\ufffd b", add_special_tokens=False).ids
+
+
+def test_other_files_go_whole(monkeypatch):
+    monkeypatch.setattr(packing, "PATTERN", "[a-z]+")
+    w = packing.WordTokenizer(WORDS)
+    assert not w.by_word
+    assert each(w, ["Some words, here", "", "x"]) == [w.library.encode(t, add_special_tokens=False).ids for t in ("Some words, here", "", "x")]
 
 
 def test_bounded_caches():
-    w = packing.WordTokenizer(WORDS)
-    w.words, w.parts = packing.Kept(20), packing.Kept(20)
-    texts = [f"word{k} and, {k}" for k in range(200)]
-    for t, ids in zip(texts, [w.ids([t.encode()])[0] for t in texts], strict=True):
-        assert np.frombuffer(ids, w.dtype).tolist() == w.library.encode(t, add_special_tokens=False).ids
-    assert len(w.words.now) + len(w.words.old) < 60
+    w = packing.WordTokenizer(WORDS, most=50)
+    texts = [f"word{k} and, {k} the{k % 7}" for k in range(200)] + ["z" * 100]
+    for t in texts:
+        assert each(w, [t]) == [w.library.encode(t, add_special_tokens=False).ids]
+        assert len(w.words) <= 50 and len(w.words) == len(w.used) == len(w.ends) - 1 and w.ends[-1] == len(w.flat)
+    assert "and," in w.words.to_pylist() and "z" * 100 not in w.words.to_pylist()
+
+
+def test_ids_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    check_packing(docs)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = sorted((r.doc_id, r.n_tokens) for r in tokens.token_counts(docs, PIECES).collect())
+    assert got == sorted((r.doc_id, len(sp.encode(r.text or ""))) for r in docs.collect())
