@@ -12,7 +12,8 @@ are never inputs of a prediction.
 
 Nulls: a null text, an empty one and one without letters is `und` with score 0, and so is any text
 where nothing could be learned; null languages aren't learned from; rows with a null doc_id are
-predicted and not held out. Repeated rows get equal predictions and are learned from once; ties
+predicted and not held out. Repeated rows get equal predictions and are learned from once, a
+doc_id with several texts of a language from the least of them; ties
 go to the smaller language. Very long texts are read whole. An empty table gives no rows. Columns
 other than doc_id, text and lang are not read.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, sliced, text_bytes
+from .common import crc32_of, kept_by_text, sliced, text_bytes
 
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 5, 0
@@ -35,6 +36,8 @@ FOLDS, HELD_OUT = 5, 0
 BITS = 14
 BINS = 1 << BITS
 PER_LANG = 400
+#: Languages that are learned: the most frequent ones, ties to the smaller.
+LANGS = 256
 #: Rounds over the sample, the step, its smoothing, and the penalties.
 ROUNDS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
 #: Every so many-th row of the sample sets the temperature instead of the weights.
@@ -153,13 +156,20 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(out[0]), out[1:]
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = LANGS) -> Model:
+    """The model of the most_langs most frequent languages, from at most per_lang documents of each."""
     seen = docs.select("doc_id", "text", "lang").where("lang is not null and doc_id is not null").where(~held_out())
     n, df = document_frequencies(seen)
     idf = np.log((1 + n) / (1 + df)) + 1
+    # A row per language that is learned. Only rows with hashes below the language's cut reach the
+    # window: about twice per_lang of them, however many rows a language has.
+    known = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_langs)
+    known = known.select(F.col("lang").alias("of_lang"), (F.lit(2.0 * per_lang) / F.col("rows")).alias("cut"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / (1 << 32)
+    below = seen.select("doc_id", "lang").join(F.broadcast(known), F.col("lang") == F.col("of_lang")).where(place < F.col("cut")).select("doc_id", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = seen.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_lang).select(F.col("doc_id").alias("of_doc"), F.col("lang").alias("of_lang")).distinct()
-    # At most per_lang short rows a language: a broadcast of a documented bound.
+    chosen = below.withColumn("rank", rank).where(F.col("rank") <= per_lang).select(F.col("doc_id").alias("of_doc"), F.col("lang").alias("of_lang"))
+    # At most per_lang short rows for each of most_langs languages: a broadcast of a documented bound.
     texts = seen.join(F.broadcast(chosen), (F.col("doc_id") == F.col("of_doc")) & (F.col("lang") == F.col("of_lang"))).groupBy("of_doc", "of_lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,30 +185,25 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     return train(langs, counted, np.array([langs.index(x) for x in got["of_lang"]], np.int64), idf)
 
 
-def predicted(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The kept columns of docs with lang_pred and score."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
+def _predictions(model: Model, texts: list[bytes]) -> list[pa.Array]:
+    out = [model.predict(t) for t in texts]
+    return [pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            out = [told.value.predict(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    rows = docs.select(text_bytes().alias("whole"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
-    model = fit(docs)
-    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    return predicted(rows, model, ["doc_id", "held_out"])
+    told = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *_predictions(told.value, batch.column(0).to_pylist())], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select(text_bytes().alias("whole"), F.col("doc_id").cast("long"), held_out().alias("held_out"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, with its columns, whose language is determined with at least that score."""
-    n = [f"c{k}" for k in range(len(docs.columns))]
-    rows = docs.toDF(*n).select(F.col(n[docs.columns.index("text")]).alias("text"), F.struct(*n).alias("doc"))
-    kept = predicted(rows, fit(docs), ["doc"]).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return kept.select(*[F.col(f"doc.{a}").alias(b) for a, b in zip(n, docs.columns, strict=True)])
+    told = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    return kept_by_text(docs, lambda texts: _predictions(told.value, texts), "lang_pred string, score double", f"lang_pred <> '{UNDETERMINED}' and score >= {least}")

@@ -11,7 +11,7 @@ doc_id); scoring covers every document.
 
 Nulls: a null text is scored as an empty one; rows with a null doc_id are scored and not held
 out, and are never learned from; null labels are ignored. Repeated rows get equal scores; a
-doc_id with several labels is learned once with each. Without labels of both kinds every score
+doc_id with several labels is learned once with each, one with several texts from the least. Without labels of both kinds every score
 is the same: the share of label 1, smoothed. An empty table gives no rows. Columns other than
 doc_id and text (quality in labels) are not read.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, sliced, text_bytes
+from .common import crc32_of, kept_by_text, sliced, text_bytes
 
 #: Labelled rows that the fit takes at most.
 TRAIN_ROWS = 20_000
@@ -173,24 +173,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     return grow(x, got.column("quality").to_numpy().astype(float))
 
 
-def scored(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; with keep those columns of docs
-    and score."""
+def _scores(trees: Trees, texts: list[bytes]) -> pa.Array:
+    return pa.array(trees.score(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))))
+
+
+def scored(docs: DataFrame, trees: Trees) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    names = keep or ["doc_id", "held_out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            x = np.array([statistics(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.value.score(x))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], _scores(model.value, batch.column(0).to_pylist())], names=["doc_id", "held_out", "score"])
 
-    if keep:
-        rows = docs.select(text_bytes().alias("whole"), *[F.col(f"`{c}`") for c in keep])
-    else:
-        rows = docs.select(text_bytes().alias("whole"), F.col("doc_id").cast("long"), held_out().alias("held_out"))
-    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, rows.schema.fields[1:], strict=True))
-    out = rows.mapInArrow(run, f"{schema}, score double")
-    return out if keep else out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(text_bytes().alias("whole"), F.col("doc_id").cast("long"), held_out().alias("held_out"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -199,7 +195,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose score reaches `least`, with the columns of docs."""
-    n = [f"c{k}" for k in range(len(docs.columns))]
-    rows = docs.toDF(*n).select(F.col(n[docs.columns.index("text")]).alias("text"), F.struct(*n).alias("doc"))
-    kept = scored(rows, fit(docs, labels), keep=["doc"]).where(F.col("score") >= least)
-    return kept.select(*[F.col(f"doc.{a}").alias(b) for a, b in zip(n, docs.columns, strict=True)])
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return kept_by_text(docs, lambda texts: [_scores(model.value, texts)], "score double", f"score >= {least}")
