@@ -14,9 +14,10 @@ whatever meets at a variant together with an even one is linked to it, and a sta
 enough; such a ball never holds more than 65 + 2081 fingerprints.
 
 The pipeline's stage (without_near_duplicates) has a rule of its own: five-word shingles of a
-Jaccard similarity of 0.8. Its candidates don't come from fingerprints, which miss such pairs, but
-from prefix filtering, which is complete: texts as similar as that share one of the first fifth
-of their shingles in a common order. Each candidate pair that isn't connected yet is verified.
+Jaccard similarity of 0.8. Ball hashing of the texts' fingerprints gives its first candidates; as
+fingerprints miss part of such pairs, prefix filtering adds the rest and makes them complete: texts
+as similar as that share one of the first fifth of their shingles in a common order. Each
+candidate pair that isn't connected yet and that its bitmaps allow is verified on whole sets.
 
 Exact copies share a fingerprint, and everything above runs on distinct fingerprints. Groups are
 the connected components of the links.
@@ -46,14 +47,18 @@ SEED = 42
 #: Fingerprints of a key that are compared with each other; beyond it the exact way for dense
 #: families is taken.
 MEETING = 64
-#: Independent fingerprints of a text's set of words.
-FAMILIES = 3
-#: Words whose hashes a worker keeps; slots that tell common shingles and one in how many texts they
-#: are counted on; how many times as many representatives each further round compares.
-CACHED = 50_000
-SLOTS = 1 << 19
-SAMPLED = 4
-HUBS = 8
+#: Slots that tell common shingles, how many shingles are counted for each on average, and the count
+#: from which a slot is common.
+SLOTS, LOAD, COMMON = 1 << 21, 2, 8
+#: 64-bit numbers of a text's parity bitmap.
+BITMAP = 8
+#: How many times as many texts of a meeting each further round compares with the others, and members
+#: of a meeting that are ranked together.
+HUBS, RANKED = 64, 4096
+#: Tokens, numbers of 8 bytes, that are broadcast at most.
+MET_ROWS = 500_000
+#: Bytes of text that are hashed together.
+HASHED_BYTES = 1 << 20
 #: First bit and number of bits of the blocks of which one is left out.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 
@@ -128,7 +133,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _meetings(radius: int, most: int):
+def _linked(radius: int, most: int):
     """For rows (key, fp) in order of key: links (a, b), and (fp, null) for members of a key
     with more than so many. At most one key's `most` rows are kept from one batch to the next."""
 
@@ -207,7 +212,7 @@ def _dense_links(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame, radius: int = RADIUS, most: int = MEETING) -> DataFrame:
     """(a, b): links between the distinct fingerprints of fps, enough to connect what is linked."""
     met = _emitted(fps.select("fp").distinct()).repartition("key").sortWithinPartitions("key", "fp")
-    met = stored(met.mapInArrow(_meetings(radius, most), "a long, b long"), "simhash-links")
+    met = stored(met.mapInArrow(_linked(radius, most), "a long, b long"), "simhash-links")
     dense = met.where("b is null").select(F.col("a").alias("fp")).distinct()
     return met.where("b is not null").unionByName(stored(_dense_links(dense), "simhash-dense"))
 
@@ -233,53 +238,85 @@ def near_duplicate_ids(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_fingerprints(text: bytes, families: int) -> list[int]:
-    """SimHashes of the set of a text's words, each family with hashes of its own."""
-    from xxhash import xxh64_intdigest
-
-    w = set(text.lower().split())
-    h = np.fromiter((xxh64_intdigest(x, SEED) for x in w), np.uint64, len(w))
-    out = []
-    for _ in range(families):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-        h ^= h >> np.uint64(27)
-        ones = np.zeros(64, np.int64)
-        for k in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]))
+def _mixer(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
+
+
+_OF_BYTE, _OF_PLACE = _mixer(256, 1), _mixer(1024, 2)
+_FACTOR = np.uint64(0x7FB5D329728EA185)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _FACTOR
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, in order, and how many words each has."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    blank = _BLANK[data]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    own = _OF_BYTE[data]
+    own[blank] = 0
+    place = np.arange(len(data))
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.r_[starts, len(data)]))
+    own *= _OF_PLACE[place & 1023] + (place >> 10).astype(np.uint64) * _FACTOR
+    return _mixed(np.add.reduceat(own, starts)), np.diff(np.searchsorted(starts, np.r_[0, ends]))
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """For each text its sorted distinct shingle hashes; one of a text with fewer words."""
+    h, counts = _word_hashes(texts)
+    whole = np.zeros(max(0, len(h) - words + 1), np.uint64)
+    for k in range(words):
+        whole = _mixed(whole ^ h[k : k + len(whole)])
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= words:
+            out.append(np.unique(whole[at : at + n - words + 1].view(np.int64)))
+        else:
+            one = np.full(1, n, np.uint64)
+            for k in range(at, at + n):
+                one = _mixed(one ^ h[k : k + 1])
+            out.append(one.view(np.int64))
+        at += n
     return out
 
 
-class _Words(dict):
-    """Hashes of words seen in this worker, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, SEED)
-        return h
-
-
-_words = _Words()
+def _each(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """shingle_sets of the texts of a column, some texts at a time."""
+    some, size = [], 0
+    for t in column.to_pylist():
+        some.append(t)
+        size += len(t)
+        if size >= HASHED_BYTES:
+            yield from shingle_sets(some, words)
+            some, size = [], 0
+    yield from shingle_sets(some, words)
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; one of a text with fewer words."""
-    w = text.lower().split()
-    h = np.fromiter(map(_words.__getitem__, w), np.uint64, len(w))
-    n = max(1, len(w) - words + 1)
-    out = np.full(n, min(len(w), words), np.uint64)
-    for k in range(min(len(w), words)):
-        out = (out ^ h[k : k + n]) * np.uint64(0x7FB5D329728EA185)
-        out ^= out >> np.uint64(29)
-    return np.unique(out.view(np.int64))
+def _set_fingerprint(own: np.ndarray) -> int:
+    """The signed 64-bit SimHash of a set of hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(own), 1 << 16):
+        ones += np.unpackbits(own[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view(np.int64)[0])
 
 
-def _row_key(doc_id: Column, text: Column) -> Column:
-    """md5 of a row's doc_id and text."""
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), F.lit("|").cast("binary"), text))
+def _bitmap(own: np.ndarray) -> np.ndarray:
+    """Parities of how many of the hashes fall on each of 64 * BITMAP bits: two sets' bitmaps differ
+    in no more bits than the sets differ in members."""
+    bits = np.bincount((own.view(np.uint64) >> np.uint64(33)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def least_shared(size: int, similarity: float) -> int:
@@ -287,116 +324,152 @@ def least_shared(size: int, similarity: float) -> int:
     return int(np.ceil(similarity * size - 1e-9))
 
 
-def _common(told: DataFrame, words: int) -> bytes:
-    """For each of SLOTS hash slots a level: the binary logarithm of how often shingles of sampled
-    texts fall into it. It only puts common shingles last; any levels give the same results."""
+def _common(told: DataFrame, texts: DataFrame, words: int) -> bytes:
+    """For each of SLOTS hash slots a level: the binary logarithm of how often shingles fall into it,
+    if often, else 0. Counted on a share of the texts by hash, so that LOAD fall into each on average: it
+    only puts common shingles last, and any levels give the same results."""
+    total = (texts.agg(F.sum("bytes")).first()[0] or 0) // 6
+    share = max(1, int(total / (LOAD * SLOTS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.uint16)
         for batch in sliced(batches):
-            for t in batch.column(0).to_pylist():
-                counts[shingles(t, words) & (SLOTS - 1)] += 1
+            for own in _each(batch.column(0), words):
+                slots = own & (SLOTS - 1)
+                counts[slots] = np.minimum(counts[slots], 65534) + 1
         slots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots].astype(np.int32))], names=["slot", "n"])
 
-    counted = told.where(F.pmod(F.xxhash64("row_key"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "slot int, n long")
-    heavy = counted.groupBy("slot").agg(F.sum("n").alias("n")).select("slot", F.floor(F.log2("n")).cast("int").alias("level")).where("level > 2").toPandas()
+    counted = told.where(F.pmod("id", F.lit(share)) == 0).select("text").mapInArrow(run, "slot int, n int")
+    heavy = counted.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select("slot", F.floor(F.log2("n")).cast("int").alias("level")).toPandas()
     levels = np.zeros(SLOTS, np.uint8)
     levels[heavy["slot"].to_numpy(np.int64)] = heavy["level"].to_numpy(np.uint8)
     return levels.tobytes()
 
 
-def _meeting_texts(told: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(token, id, size, nth) of the texts (id, row_key) that may reach the bound, complete: two
-    sets as similar as the bound share a shingle among the first size - least_shared + 1 of each
-    one's in any common order. Of the tokens at which the same texts meet, one is kept."""
-    levels = _common(told, words)
-    read = told.join(small(texts.select("id", F.col("row_key").alias("of_row"))), F.col("row_key") == F.col("of_row")).select("id", "text")
+def _measured(told: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """For each row of told: id, size (of its set), fp, bits (bitmap) and tokens: the first
+    size - least_shared + 1 of its shingles, common ones last. Two sets as similar as the bound
+    share one of them, in any common order."""
+    levels = told.sparkSession.sparkContext.broadcast(_common(told, texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels, np.uint8)
+        level = np.frombuffer(levels.value, np.uint8)
         for batch in sliced(batches):
-            sizes, first = [], []
-            for t in batch.column(1).to_pylist():
-                own = shingles(t, words)
-                order = np.lexsort((own, level[own & (SLOTS - 1)]))
-                sizes.append(len(own))
+            sizes, fps, bits, first = [], [], [], []
+            for own in _each(batch.column(1), words):
+                order = np.argsort(level[own & (SLOTS - 1)], kind="stable")
+                sizes.append(len(own)), fps.append(_set_fingerprint(own)), bits.append(_bitmap(own))
                 first.append(own[order[: len(own) - least_shared(len(own), similarity) + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "size", "tokens"])
-
-    tokens = read.mapInArrow(run, "id long, size int, tokens array<long>").select(F.explode("tokens").alias("token"), "id", "size")
-    mark = F.xxhash64("id")
-    half = F.lit((1 << 32) - 1)
-    met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(mark.bitwiseAND(half)).alias("x"), F.sum(F.shiftrightunsigned(mark, 32)).alias("y")).where("low < high")
-    kept = stored(met.groupBy("n", "low", "high", "x", "y").agg(F.min("token").alias("kept")).select("kept"), "near-tokens")
-    rows = tokens.join(small(kept), F.col("token") == F.col("kept"), "left_semi").distinct()
-    return stored(rows.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("id"))), "near-meetings")
-
-
-def _shingle_sets(told: DataFrame, asked: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the asked texts (id, row_key)."""
-    read = told.join(small(asked.select("id", F.col("row_key").alias("of_row"))), F.col("row_key") == F.col("of_row")).select("id", "text")
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(bits, longs), pa.array(first, longs)], names=["id", "size", "fp", "bits", "tokens"])
+
+    return stored(told.select("id", "text").mapInArrow(run, "id long, size int, fp long, bits array<long>, tokens array<long>"), "near-measured")
+
+
+def _meetings(measured: DataFrame) -> DataFrame:
+    """(token, id, size, bits, nth) of texts that share a token; of the tokens at which the same texts
+    meet, one is kept. Texts of a token are numbered in buckets of about RANKED, so no group is
+    gathered."""
+    tokens = measured.select(F.explode("tokens").alias("token"), "id")
+    met = tokens.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("token").alias("of_token"))
+    rows = stored(tokens.join(small(stored(met, "near-tokens"), MET_ROWS), F.col("token") == F.col("of_token"), "left_semi").distinct(), "near-members")
+    mark, half = F.xxhash64("id"), F.lit((1 << 32) - 1)
+    told = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(mark.bitwiseAND(half)).alias("x"), F.sum(F.shiftrightunsigned(mark, 32)).alias("y"))
+    kept = stored(told.groupBy("n", "low", "high", "x", "y").agg(F.min("token").alias("kept")).select("kept", F.ceil(F.col("n") / RANKED).alias("buckets")), "near-kept")
+    rows = rows.join(small(kept, MET_ROWS), F.col("token") == F.col("kept")).withColumn("bucket", F.pmod(mark, F.col("buckets")))
+    rows = stored(rows.withColumn("nth", F.row_number().over(Window.partitionBy("token", "bucket").orderBy("id"))).drop("kept"), "near-ranked")
+    # A row per bucket: what orders them is the list of a token's buckets, never its members.
+    ahead = Window.partitionBy("in_token").orderBy("in_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    many = rows.where("buckets > 1").groupBy(F.col("token").alias("in_token"), F.col("bucket").alias("in_bucket")).agg(F.count(F.lit(1)).alias("n"))
+    many = many.select("in_token", "in_bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    rows = rows.join(small(many), (F.col("token") == F.col("in_token")) & (F.col("bucket") == F.col("in_bucket")), "left")
+    about = measured.select(F.col("id").alias("of_id"), "size", "bits").dropDuplicates(["of_id"])
+    return rows.join(about, F.col("id") == F.col("of_id")).select("token", "id", "size", "bits", (F.col("nth") + F.coalesce("ahead", F.lit(0))).alias("nth"))
+
+
+def _fingerprint_pairs(measured: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints are linked or the same, enough to connect those."""
+    texts = measured.select("id", "fp").distinct()
+    first = stored(texts.groupBy("fp").agg(F.min("id").alias("first")), "near-fingerprints")
+    same = texts.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = links(first.select("fp")).toDF("x", "y")
+    for end in ("x", "y"):
+        near = near.join(first.select(F.col("fp").alias(f"{end}_fp"), F.col("first").alias(f"{end}_id")), F.col(end) == F.col(f"{end}_fp"))
+    return same.unionByName(near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))).distinct()
+
+
+def _similar(told: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose shingles' Jaccard similarity reaches the bound."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+    read = told.join(small(asked), F.col("id") == F.col("asked"), "left_semi").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    return stored(read.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]), "near-shingles")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_each(batch.column(1), words)), pa.list_(pa.int64()))], names=["id", "shingles"])
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingles' Jaccard similarity reaches the bound."""
-    left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("a_set", "b_set")))
+    sets = stored(read.mapInArrow(run, "id long, shingles array<long>"), "near-shingles").dropDuplicates(["id"])
+    left, right = (sets.select(F.col("id").alias(f"{c}_id"), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+    both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id")).withColumn("same", F.size(F.array_intersect("a_set", "b_set")))
     return both.where(F.col("same") >= similarity * (F.size("a_set") + F.size("b_set") - F.col("same"))).select("a", "b")
 
 
 def similar_groups(told: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, component): ids of texts that pairs as similar as the bound connect, complete.
 
-    told has row_key and text, texts id and row_key. Of texts that meet, the first few of each
-    meeting are compared with all later ones, then more of them, until every two that meet were
-    compared or are connected already: a dense family is connected by its first rounds, and no
-    pair is left out for having failed against a representative.
+    told has id and text, texts id and bytes of the distinct ones. Pairs of near fingerprints are
+    verified first, and of texts that meet, the first of each meeting with all later ones; then more
+    of them, until every two that meet were compared or are connected: a dense family is connected by
+    its first rounds, and no pair is left out for having failed against a representative.
     """
-    met = _meeting_texts(told, texts, words, similarity)
-    sets = _shingle_sets(told, texts.join(met.select("id").distinct(), "id", "left_semi"), words)
+    measured = _measured(told, texts, words, similarity)
+    met = stored(_meetings(measured), "near-meetings")
     found, asked, of = None, None, None
     done, most = 0, 1
+    differing = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("a_bits")[k])) for k in range(BITMAP)), F.lit(0))
     while True:
         # Only meetings of several components have pairs left.
         now = met.withColumn("component", F.col("id")) if of is None else met.join(of, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).select(*met.columns, "component")
-        open_ = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("nth").alias("last")).where(f"low < high and last > {done + 1}").select("token")
-        now = stored(now.join(open_, "token", "left_semi"), "near-open")
-        if now.isEmpty():
-            break
-        met = now.select(*met.columns)
-        hubs = now.where((F.col("nth") > done) & (F.col("nth") <= most)).select("token", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("nth").alias("a_nth"), F.col("component").alias("a_component"))
-        close = (F.least("a_size", "size") >= similarity * F.greatest("a_size", "size") - 1e-9) & (F.col("a_component") != F.col("component"))
-        pairs = now.join(hubs, "token").where((F.col("nth") > F.col("a_nth")) & close).select("a", F.col("id").alias("b")).distinct()
+        if done:
+            open_ = now.groupBy(F.col("token").alias("open")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("nth").alias("last")).where(f"low < high and last > {done + 1}").select("open")
+            now = stored(now.join(open_, F.col("token") == F.col("open"), "left_semi"), "near-open")
+            if now.isEmpty():
+                return of
+            met = now.select(*met.columns)
+        hubs = now.where((F.col("nth") > done) & (F.col("nth") <= most)).select(F.col("token").alias("a_token"), *[F.col(c).alias(f"a_{c}") for c in ("id", "size", "bits", "nth", "component")])
+        both = F.col("size") + F.col("a_size")
+        close = (F.least("a_size", "size") >= similarity * F.greatest("a_size", "size") - 1e-9) & (differing <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (F.col("a_component") != F.col("component"))
+        pairs = now.join(hubs, F.col("token") == F.col("a_token")).where((F.col("nth") > F.col("a_nth")) & close).select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b"))
+        pairs = (pairs.unionByName(_fingerprint_pairs(measured)) if asked is None else pairs).distinct()
         pairs = stored(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "near-pairs")
-        alike = stored(_similar(pairs, sets, similarity), "near-alike")
+        alike = stored(_similar(told, pairs, words, similarity), "near-alike")
         asked = pairs if asked is None else asked.unionByName(pairs)
         found = alike if found is None else found.unionByName(alike)
         of = components(found)
         done, most = most, most * HUBS
-    return of if of is not None else texts.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, of each group of near-duplicates only the document with the smallest doc_id.
 
     Near-duplicates are connected by pairs of texts whose shingles' similarity reaches the bound;
-    every such pair counts.
+    every such pair counts. Equal texts are one (null is the empty one); a null doc_id is the last
+    choice. Texts are known by 64-bit hashes; different ones with one hash are left as they are.
     """
-    text = text_bytes()
-    told = docs.select(F.col("doc_id").cast("long"), _row_key(F.col("doc_id"), text).alias("row_key"), text.alias("text"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
-    texts = stored(told.groupBy(F.md5("text").alias("text_key")).agg(first).select("best", F.monotonically_increasing_id().alias("id")), "near-texts")
-    of = similar_groups(told, texts.select("id", "best.row_key"), words, similarity)
-    best = texts.join(of, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("best").alias("best"))
-    keep = best.select(F.col("best.row_key").alias("keep_key"))
-    whole = docs.select(_row_key(F.col("doc_id"), text).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    kept = whole.join(keep, F.col("row_key") == F.col("keep_key"), "left_semi").dropDuplicates(["row_key"])
-    return kept.select("doc.*")
+    told = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_bytes()).alias("id"), text_bytes().alias("text"))
+    rows = told.groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("text")).alias("low"), F.max(F.md5("text")).alias("high"), F.max(F.length("text")).alias("bytes"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "n")).alias("best")
+    texts = rows.groupBy("id").agg(best, F.sum("n").alias("rows"), F.max("bytes").alias("bytes"), F.min("low").alias("low"), F.max("high").alias("high"))
+    texts = stored(texts.where("low = high").drop("low", "high"), "near-texts")
+    of = similar_groups(told.select("id", "text"), texts.select("id", "bytes"), words, similarity)
+    linked = texts.join(of, F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "id"))
+    first = linked.where("component is not null").groupBy(F.col("group").alias("of_group")).agg(F.min("best").alias("first"))
+    linked = linked.join(first, F.col("group") == F.col("of_group"), "left")
+    # Texts of one row that are the first of their group are kept as they are.
+    changed = linked.select(F.col("id").alias("of_id"), (F.col("first").isNull() | (F.col("first.id") == F.col("id"))).alias("kept"), "rows", F.col("best.doc_id").alias("of_doc"), F.col("best.n").alias("n")).where("not kept or rows > 1")
+    changed = stored(changed, "near-changed")
+    whole = docs.select(F.xxhash64(text_bytes()).alias("id"), F.col("doc_id").cast("long").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    chosen = F.col("kept") & F.col("own").eqNullSafe(F.col("of_doc"))
+    once = whole.join(small(changed), F.col("id") == F.col("of_id"), "left").where(F.col("of_id").isNull() | (chosen & (F.col("n") == 1)))
+    repeated = whole.join(small(changed.where("kept and n > 1")), F.col("id") == F.col("of_id")).where(chosen).dropDuplicates(["id"])
+    return once.select("doc.*").unionByName(repeated.select("doc.*"))

@@ -35,15 +35,15 @@ def mutated(rng, words, changes):
 
 
 def test_every_pair_of_the_rule(spark):
-    """Copies near the bound: three fingerprints of 3 bits missed some."""
+    """Copies near the bound, some of which fingerprints of 3 bits miss."""
     rng, texts = random.Random(5), {}
     for n in range(120):
         words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((12, 30, 50, 60, 120, 300)))]
         for k in range(2):
             texts[2 * n + k] = " ".join(mutated(rng, words, k * max(1, len(words) // 55)))
     want, pairs, _ = brute(texts)
-    fps = {i: [f % (1 << 64) for f in simhash.word_fingerprints(t.encode(), simhash.FAMILIES)] for i, t in texts.items()}
-    assert any(all((a ^ b).bit_count() > 3 for a, b in zip(fps[i], fps[j], strict=True)) for i, j in pairs)
+    fps = {i: simhash._set_fingerprint(simhash.shingle_sets([t.encode()], 5)[0]) % (1 << 64) for i, t in texts.items()}
+    assert {(fps[i] ^ fps[j]).bit_count() <= 3 for i, j in pairs} == {True, False}
     assert kept(spark, texts) == want
 
 
@@ -66,7 +66,47 @@ def test_members_pass_where_hubs_fail(spark):
     assert kept(spark, texts) == want
 
 
-def test_check_tables(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(600).collect()
+def test_whole_table(spark):
+    """All pairs of a whole table: recall and precision are 1."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     texts = {r.doc_id: r.text or "" for r in rows}
     assert kept(spark, texts) == brute(texts)[0]
+
+
+def test_dense_meetings(spark, monkeypatch):
+    """Families larger than a round's representatives and a ranked bucket."""
+    monkeypatch.setattr(simhash, "HUBS", 3)
+    monkeypatch.setattr(simhash, "RANKED", 8)
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(90)]
+    texts = {n: " ".join(mutated(rng, base, rng.choice((1, 2, 3, 5)))) for n in range(70)}
+    assert kept(spark, texts) == brute(texts)[0]
+
+
+def test_shingle_sets():
+    rng = random.Random(9)
+    alphabet = ["a", "B", "\u00e9", " ", "\n", "\x0b", "\x00", "\u4e2d", "\x85"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))).encode() for _ in range(500)] + [b"", b" ", b"x" * 5000 + b" y", b"x" * 4999 + b"z y", b"w " * 40]
+    for words in (1, 3, 5):
+        got = simhash.shingle_sets(texts, words)
+        of, back = {}, {}
+        for t, own in zip(texts, got, strict=True):
+            w = t.lower().split()
+            want = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or {tuple(w)}
+            assert len(own) == len(want) and (own[1:] > own[:-1]).all()
+            if len(want) == 1:
+                one = next(iter(want))
+                assert of.setdefault(one, int(own[0])) == int(own[0]) and back.setdefault(int(own[0]), one) == one
+        alone = [simhash.shingle_sets([t], words)[0].tolist() for t in texts]
+        assert alone == [g.tolist() for g in got]
+    for x, y in zip(got, got[1:]):
+        bits = sum(((int(p) ^ int(q)) % (1 << 64)).bit_count() for p, q in zip(simhash._bitmap(x), simhash._bitmap(y), strict=True))
+        assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    out = simhash.without_near_duplicates(odd_docs)
+    assert out.columns == odd_docs.columns
+    # 1 stands for its repeat and for 6, the empty text 2 for 3 and 4: none of them has a word.
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted((r.doc_id or 0, r.text) for r in odd_docs.dropDuplicates(["doc_id"]).collect() if r.doc_id not in (3, 4, 6))
+    assert simhash.without_near_duplicates(no_docs).count() == 0

@@ -4,7 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
-from farandole.llm import langid, mixing, quality, simhash
+from farandole.llm import langid, mixing, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,12 +26,11 @@ def test_stages(spark):
 
     single = steps["near_duplicates"](spark, known, SF).cache()
     texts = {r.doc_id: (r.text or "").encode() for r in known.collect()}
-    fps = {i: [f % (1 << 64) for f in simhash.word_fingerprints(t, simhash.FAMILIES)] for i, t in texts.items()}
-    sets = {i: set(simhash.shingles(t, 5).tolist()) for i, t in texts.items()}
+    words = {i: t.lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in words.items()}
     of = {i: i for i in texts}
     for i, j in combinations(sorted(texts), 2):
-        near = any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j], strict=True))
-        if texts[i] == texts[j] or near and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             low, high = sorted((of[i], of[j]))
             of = {k: low if v == high else v for k, v in of.items()}
     first = set(of.values())
