@@ -31,6 +31,8 @@ from .common import sliced, text_bytes
 BLOCK = 64
 SAMPLE_RATE = 8000
 UNKNOWN = "application/octet-stream"
+#: Declared types of a stored text: of the file and of the payload in it.
+STORED, TEXT = "audio/wav", "text/plain"
 
 
 def _wave(b: bytes, at: int) -> int:
@@ -218,7 +220,7 @@ def wave_samples(wave: bytes, at: int, n: int) -> bytes:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: every whole text as a stored media file, its type declared
-    unknown (declared)."""
+    (declared)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -227,7 +229,7 @@ def text_media(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(waves, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
-    return rows.withColumn("declared", F.lit(UNKNOWN))
+    return rows.withColumn("declared", F.lit(STORED))
 
 
 SNIFFED = "type string, corrected boolean, found array<struct<type string, offset long, length long, depth int, parent int>>"
@@ -256,15 +258,21 @@ def carved(found: DataFrame, keep: list[str], value: str = "media") -> DataFrame
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Payload features of stored texts, read back from the media bytes at the sniffed place."""
+    """Payload features of stored texts, read back from the media bytes at the sniffed place. What
+    was found below the stored file is in the payload: its type (the declared one, corrected where a
+    valid file stands at its start), how many valid files it holds at any depth, and their types."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out = []
-            for doc, n, wave, kind, right, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "type", "corrected", "found")), strict=True):
+            for doc, n, wave, kind, wrong, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "type", "corrected", "found")), strict=True):
                 samples = wave_samples(wave, found[0]["offset"], found[0]["length"]) if kind == "audio/wav" else b""
                 levels = np.frombuffer(samples, np.uint8)
-                some = f"{kind};corrected={int(right)};embedded={len(found) - 1};rate={SAMPLE_RATE};frames={len(samples)};mean={levels.mean():.4f};peak={levels.max()};crossings={int(np.count_nonzero(np.diff(levels >= 128)))}"
+                # The payload is the end of the stored file, but for a padding byte.
+                start = found[0]["offset"] + found[0]["length"] - len(samples) if found else 0
+                inner = next((f["type"] for f in found[1:] if f["offset"] == start), TEXT)
+                held = ",".join(sorted({f["type"] for f in found[1:]}))
+                some = f"{kind};payload={inner};corrected={int(inner != TEXT)};wrong_file={int(wrong)};embedded={len(found) - 1};held={held};rate={SAMPLE_RATE};frames={len(samples)};mean={levels.mean():.4f};peak={levels.max()};crossings={int(np.count_nonzero(np.diff(levels >= 128)))}"
                 out.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(wave), hashlib.sha256(wave).hexdigest(), some))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), FEATURE_TYPES, strict=True)] if out else [pa.array([], t) for t in FEATURE_TYPES], names=FEATURES)
 

@@ -20,8 +20,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes of each document."""
-    copies = mixing.mix(table(spark, sf_dir, "documents"))
-    return copies.groupBy("doc_id", "source", "bucket", "pos").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,15 +91,21 @@ ORACLE_SQL: dict[str, str] = {
                          / (sum(weight) OVER ()::BIGINT - (sum(weight) OVER w::BIGINT - weight))::DOUBLE AS level
                FROM s4 WINDOW w AS (ORDER BY ratio, nth ROWS UNBOUNDED PRECEDING)),
         s6 AS (SELECT *, (SELECT arg_min(level, struct_pack(ratio, nth)) FROM s5 WHERE level <= ratio) AS reached FROM s5),
-        s7 AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(reached, 0) * weight) AS target FROM s6),
-        queue AS (SELECT d.doc_id, d.size, s.source_size, s.target,
+        s7 AS (SELECT source, source_size, nth, greatest(1, ceil(sum(source_size) OVER () / 131072))::BIGINT AS quantum, sum(source_size) OVER ()::BIGINT AS budget,
+                      least(cap::DOUBLE, coalesce(reached, 0) * weight) AS target FROM s6),
+        queue AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.nth, s.quantum, s.budget,
                          sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS done
-                  FROM sized d JOIN s7 s ON d.source IS NOT DISTINCT FROM s.source)
+                  FROM sized d JOIN s7 s ON d.source IS NOT DISTINCT FROM s.source),
+        quanta AS (SELECT nth, quantum, budget, target, size, c.copy * source_size + done - size AS first, unnest(range(0, size, quantum)) AS k
+                   FROM queue, range(3) c(copy) WHERE size > 0 AND target > 0),
+        parts AS (SELECT nth, budget, least(quantum, size - k) AS words, (first + k + least(quantum, size - k))::DOUBLE / target AS finish FROM quanta WHERE first + k < target),
+        spent AS (SELECT nth, words, budget, sum(words) OVER (ORDER BY finish, nth ROWS UNBOUNDED PRECEDING) - words AS before FROM parts),
+        served AS (SELECT nth, sum(greatest(0, least(words, budget - before)))::BIGINT AS served FROM spent GROUP BY nth)
         SELECT doc_id, size, source_size, target,
-               (greatest(0, least(size, floor(target)::BIGINT - done + size))
-                + greatest(0, least(size, floor(target)::BIGINT - source_size - done + size))
-                + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - done + size)))::BIGINT AS taken
-        FROM queue""",
+               (greatest(0, least(size, coalesce(served, 0) - done + size))
+                + greatest(0, least(size, coalesce(served, 0) - source_size - done + size))
+                + greatest(0, least(size, coalesce(served, 0) - 2 * source_size - done + size)))::BIGINT AS taken
+        FROM queue LEFT JOIN served USING (nth)""",
     "op4_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x
                    FROM embeddings

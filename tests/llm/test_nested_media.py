@@ -40,5 +40,10 @@ def test_embedded_media_of_texts(spark):
     gif = b"GIF89a\x01\x00\x01\x00\x00\x00\x00,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"  # all below 0x80
     docs = spark.createDataFrame([(1, "plain"), (2, (b"a " + pdf + b" b").decode()), (3, (gif + pdf).decode())], "doc_id long, text string")
     found = media.sniffed(media.text_media(docs), ["doc_id", "n_bytes"])
-    assert {(r.doc_id, dict(x.split("=") for x in r.feature.split(";")[1:])["embedded"]) for r in media.features(found).collect()} == {(1, "0"), (2, "1"), (3, "2")}
+    told = {r.doc_id: dict(x.split("=") for x in r.feature.split(";")[1:]) for r in media.features(found).collect()}
+    assert {i: (f["payload"], f["corrected"], f["embedded"], f["held"]) for i, f in told.items()} == {
+        1: ("text/plain", "0", "0", ""),
+        2: ("text/plain", "0", "1", "application/pdf"),
+        3: ("image/gif", "1", "2", "application/pdf,image/gif"),
+    }
     assert {(r.doc_id, r.depth, bytes(r.bytes)) for r in media.carved(found, ["doc_id"]).collect() if r.type != "audio/wav"} == {(2, 1, pdf), (3, 1, gif), (3, 1, pdf)}

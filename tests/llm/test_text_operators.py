@@ -53,7 +53,7 @@ def test_media_round_trip(odd_docs, no_docs):
     got = sorted([(r.doc_id or 0, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out])
     full = [(i, b, b + b"\0" * (-len(b) % 64 if b else 64)) for i, b in want]
     assert got == sorted((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) for i, b, p in full)
-    assert all(r.feature.startswith("audio/wav;corrected=1") for r in out)
+    assert all(r.feature.startswith("audio/wav;payload=text/plain;corrected=0;wrong_file=0;embedded=0;held=;") for r in out)
     assert media.features(media.sniffed(media.text_media(no_docs), ["doc_id", "n_bytes"])).count() == 0
 
 
@@ -89,8 +89,45 @@ def test_mix_meets_targets(spark, odd_docs, no_docs):
             taken[r.source] += r.words
         assert len(out) == 3 * len(rows)
         for s, t in target.items():
-            assert abs(taken[s] - t) <= 1
-    assert mixing.mix(no_docs).count() == 0
+            assert abs(taken[s] - t) <= len(target)
+    assert mixing.mix(no_docs).count() == 0 and mixing.taken(no_docs).count() == 0
+
+
+def cut_by_hand(docs, quanta):
+    """Words that each document takes, with one list of all quanta and one running total."""
+    rows = [(r.doc_id, len((r.text or "").split()), r.source) for r in docs.collect()]
+    total, target = mix_by_hand([(i, "w " * n, s) for i, n, s in rows])
+    budget = sum(total.values())
+    q, line = max(1, -(-budget // quanta)), []
+    for nth, s in enumerate(sorted(total)):
+        at = 0
+        queue = sorted((int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), i, n) for i, n, x in rows if x == s)
+        for _ in range(3):
+            for _, i, n in queue:
+                for k in range(0, n, q):
+                    if at + k < target[s]:
+                        w = min(q, n - k)
+                        line.append(((at + k + w) / target[s], nth, w, i))
+                at += n
+    got, spent = defaultdict(int), 0
+    for _, _, w, i in sorted(line):
+        got[i] += max(0, min(w, budget - spent))
+        spent += w
+    return got
+
+
+def test_mix_is_cut_in_global_order(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "w " * (k * 37 % 90 + 1), "big" if k % 3 else f"s{k % 5}") for k in range(800)], "doc_id long, text string, source string")
+    for quanta in (50, 4000):
+        want = cut_by_hand(docs, quanta)
+        got = defaultdict(int)
+        for r in mixing.mix(docs, quanta=quanta, bucket_rows=64).collect():
+            got[r.doc_id] += r.words
+        assert {i: n for i, n in got.items() if n} == {i: n for i, n in want.items() if n}
+    # Another order gives another mix.
+    order = mixing.in_order
+    monkeypatch.setattr(mixing, "in_order", lambda *a: order(*a).withColumn("spent", mixing.F.sum("words").over(mixing.Window.orderBy(mixing.F.desc("nth"), "finish"))))
+    assert {r.doc_id: r.words for r in mixing.mix(docs, quanta=50).where("copy = 0").collect()} != {i: want[i] for i in range(800)}
 
 
 def test_mix_in_small_buckets_is_the_same(spark):
