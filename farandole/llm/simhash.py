@@ -50,8 +50,10 @@ MEETING = 64
 #: Slots that tell common shingles, how many shingles are counted for each on average, and the count
 #: from which a slot is common.
 SLOTS, LOAD, COMMON = 1 << 21, 2, 8
-#: 64-bit numbers of a text's parity bitmap.
-BITMAP = 8
+#: 64-bit numbers of a text's parity bitmap, and at most those of the wide one of a large set.
+BITMAP, WIDEST = 8, 512
+#: Pairs of one text that a task verifies.
+VERIFIED = 1024
 #: How many times as many texts of a meeting each further round compares with the others, and members
 #: of a meeting that are ranked together.
 HUBS, RANKED = 64, 4096
@@ -312,13 +314,19 @@ def _set_fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(own), bitorder="little").view(np.int64)[0])
 
 
-def _bitmap(own: np.ndarray) -> np.ndarray:
-    """Parities of how many of the hashes fall on each of 64 * BITMAP bits: two sets' bitmaps differ
+def _bitmap(own: np.ndarray, longs: int = BITMAP) -> np.ndarray:
+    """Parities of how many of the hashes fall on each of 64 * longs bits: two sets' bitmaps differ
     in no more bits than the sets differ in members."""
-    bits = np.bincount((own.view(np.uint64) >> np.uint64(33)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    bits = np.bincount((own.view(np.uint64) >> np.uint64(33)).astype(np.int64) % (64 * longs), minlength=64 * longs) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _wide(own: np.ndarray) -> np.ndarray | None:
+    """The bitmap of a large set, about a bit for each member; null where BITMAP is enough."""
+    longs = 1 << max(0, (len(own) - 1) // 64).bit_length()
+    return _bitmap(own, min(longs, WIDEST)) if longs > BITMAP else None
+
+
 def least_shared(size: int, similarity: float) -> int:
     """Shingles that a set of that size shares at least with any set as similar as the bound."""
     return int(np.ceil(similarity * size - 1e-9))
@@ -348,32 +356,40 @@ def _common(told: DataFrame, texts: DataFrame, words: int) -> bytes:
 
 
 def _measured(told: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """For each row of told: id, size (of its set), fp, bits (bitmap) and tokens: the first
-    size - least_shared + 1 of its shingles, common ones last. Two sets as similar as the bound
-    share one of them, in any common order."""
+    """For each row of told: id, size (of its set), fp, bits and wide (bitmaps), rare and common:
+    together the first size - least_shared + 1 of its shingles, common ones last. Two sets as similar
+    as the bound share one of them, in any common order."""
     levels = told.sparkSession.sparkContext.broadcast(_common(told, texts, words))
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
         for batch in sliced(batches):
-            sizes, fps, bits, first = [], [], [], []
+            sizes, fps, bits, wide, rare, common = [], [], [], [], [], []
             for own in _each(batch.column(1), words):
-                order = np.argsort(level[own & (SLOTS - 1)], kind="stable")
-                sizes.append(len(own)), fps.append(_set_fingerprint(own)), bits.append(_bitmap(own))
-                first.append(own[order[: len(own) - least_shared(len(own), similarity) + 1]])
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(bits, longs), pa.array(first, longs)], names=["id", "size", "fp", "bits", "tokens"])
+                of = level[own & (SLOTS - 1)]
+                order = np.argsort(of, kind="stable")[: len(own) - least_shared(len(own), similarity) + 1]
+                sizes.append(len(own)), fps.append(_set_fingerprint(own)), bits.append(_bitmap(own)), wide.append(_wide(own))
+                first, cut = own[order], int(np.count_nonzero(of[order] == 0))
+                rare.append(first[:cut]), common.append(first[cut:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), *[pa.array(x, longs) for x in (bits, wide, rare, common)]], names=["id", "size", "fp", "bits", "wide", "rare", "common"])
 
-    return stored(told.select("id", "text").mapInArrow(run, "id long, size int, fp long, bits array<long>, tokens array<long>"), "near-measured")
+    rows = told.select("id", "text").mapInArrow(run, "id long, size int, fp long, bits array<long>, wide array<long>, rare array<long>, common array<long>")
+    return stored(rows, "near-measured")
 
 
 def _meetings(measured: DataFrame) -> DataFrame:
     """(token, id, size, bits, nth) of texts that share a token; of the tokens at which the same texts
     meet, one is kept. Texts of a token are numbered in buckets of about RANKED, so no group is
     gathered."""
-    tokens = measured.select(F.explode("tokens").alias("token"), "id")
-    met = tokens.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("token").alias("of_token"))
-    rows = stored(tokens.join(small(stored(met, "near-tokens"), MET_ROWS), F.col("token") == F.col("of_token"), "left_semi").distinct(), "near-members")
+    tokens = lambda c: measured.select(F.explode(c).alias("token"), "id")
+    # Rare tokens have few texts, which one shuffle brings together; common ones are combined first.
+    of = Window.partitionBy("token")
+    rare = tokens("rare").withColumns({"low": F.min("id").over(of), "high": F.max("id").over(of)}).where("low < high").select("token", "id")
+    common = tokens("common")
+    met = common.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("token").alias("of_token"))
+    common = common.join(small(stored(met, "near-tokens"), MET_ROWS), F.col("token") == F.col("of_token"), "left_semi")
+    rows = stored(rare.distinct().unionByName(common.distinct()), "near-members")
     mark, half = F.xxhash64("id"), F.lit((1 << 32) - 1)
     told = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(mark.bitwiseAND(half)).alias("x"), F.sum(F.shiftrightunsigned(mark, 32)).alias("y"))
     kept = stored(told.groupBy("n", "low", "high", "x", "y").agg(F.min("token").alias("kept")).select("kept", F.ceil(F.col("n") / RANKED).alias("buckets")), "near-kept")
@@ -399,25 +415,51 @@ def _fingerprint_pairs(measured: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))).distinct()
 
 
-def _similar(told: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose shingles' Jaccard similarity reaches the bound."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
-    read = told.join(small(asked), F.col("id") == F.col("asked"), "left_semi").select("id", "text")
+def _possible(pairs: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose sizes and wide bitmaps allow the similarity."""
+    about = measured.select("id", "size", F.coalesce("wide", "bits").alias("bits")).dropDuplicates(["id"])
+    for c in ("a", "b"):
+        pairs = pairs.join(about.toDF(f"{c}_id", f"{c}_size", f"{c}_bits"), F.col(c) == F.col(f"{c}_id"))
+    # Sizes that are near enough have bitmaps of one length or of twice it, which folds to one.
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    a, b = F.col("a_bits"), F.col("b_bits")
+    a, b = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    differing = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+    near = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
+    return pairs.where(near).where(differing <= (F.col("a_size") + F.col("b_size")) * ((1 - similarity) / (1 + similarity)) + 1e-9).select("a", "b")
+
+
+def _similar(told: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose shingles' Jaccard similarity reaches the bound. Each
+    text b goes to its a, once, in shares of about VERIFIED pairs of one a."""
+    many = pairs.groupBy(F.col("a").alias("of_a")).agg(F.ceil(F.count(F.lit(1)) / VERIFIED).alias("shares")).where("shares > 1")
+    dealt = pairs.join(small(many), F.col("a") == F.col("of_a"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).alias("share"))
+    asked = dealt.select(F.col("a").alias("hub"), "share", F.col("b").alias("asked")).unionByName(dealt.select(F.col("a").alias("hub"), "share", F.col("a").alias("asked")).distinct())
+    asked = asked.join(texts.select(F.col("id").alias("of_id"), F.col("best.doc_id").alias("of_doc")), F.col("asked") == F.col("of_id")).drop("of_id")
+    rows = told.join(small(stored(asked, "near-asked")), (F.col("id") == F.col("asked")) & F.col("doc_id").eqNullSafe(F.col("of_doc")))
+    rows = rows.select("hub", "share", (F.col("id") != F.col("hub")).alias("other"), "id", "text").repartition("hub", "share").sortWithinPartitions("hub", "share", "other", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first, last = None, None, None
         for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_each(batch.column(1), words)), pa.list_(pa.int64()))], names=["id", "shingles"])
+            a, b = [], []
+            keys = zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3)), strict=True)
+            for (hub, share, other, one), own in zip(keys, _each(batch.column(4), words), strict=True):
+                if not other:
+                    at, first, last = (hub, share), own, None
+                elif one != last and at == (hub, share):
+                    same, last = len(np.intersect1d(first, own, assume_unique=True)), one
+                    if same >= similarity * (len(first) + len(own) - same):
+                        a.append(hub), b.append(one)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = stored(read.mapInArrow(run, "id long, shingles array<long>"), "near-shingles").dropDuplicates(["id"])
-    left, right = (sets.select(F.col("id").alias(f"{c}_id"), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
-    both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id")).withColumn("same", F.size(F.array_intersect("a_set", "b_set")))
-    return both.where(F.col("same") >= similarity * (F.size("a_set") + F.size("b_set") - F.col("same"))).select("a", "b")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def similar_groups(told: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, component): ids of texts that pairs as similar as the bound connect, complete.
 
-    told has id and text, texts id and bytes of the distinct ones. Pairs of near fingerprints are
+    told has id, doc_id and text, texts id, best (with the doc_id that stands for it) and bytes. Pairs of near fingerprints are
     verified first, and of texts that meet, the first of each meeting with all later ones; then more
     of them, until every two that meet were compared or are connected: a dense family is connected by
     its first rounds, and no pair is left out for having failed against a representative.
@@ -441,8 +483,9 @@ def similar_groups(told: DataFrame, texts: DataFrame, words: int, similarity: fl
         close = (F.least("a_size", "size") >= similarity * F.greatest("a_size", "size") - 1e-9) & (differing <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (F.col("a_component") != F.col("component"))
         pairs = now.join(hubs, F.col("token") == F.col("a_token")).where((F.col("nth") > F.col("a_nth")) & close).select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b"))
         pairs = (pairs.unionByName(_fingerprint_pairs(measured)) if asked is None else pairs).distinct()
-        pairs = stored(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "near-pairs")
-        alike = stored(_similar(told, pairs, words, similarity), "near-alike")
+        pairs = pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti")
+        pairs = stored(_possible(pairs, measured, similarity), "near-pairs")
+        alike = stored(_similar(told, texts, pairs, words, similarity), "near-alike")
         asked = pairs if asked is None else asked.unionByName(pairs)
         found = alike if found is None else found.unionByName(alike)
         of = components(found)
@@ -461,7 +504,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float =
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "n")).alias("best")
     texts = rows.groupBy("id").agg(best, F.sum("n").alias("rows"), F.max("bytes").alias("bytes"), F.min("low").alias("low"), F.max("high").alias("high"))
     texts = stored(texts.where("low = high").drop("low", "high"), "near-texts")
-    of = similar_groups(told.select("id", "text"), texts.select("id", "bytes"), words, similarity)
+    of = similar_groups(told, texts, words, similarity)
     linked = texts.join(of, F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "id"))
     first = linked.where("component is not null").groupBy(F.col("group").alias("of_group")).agg(F.min("best").alias("first"))
     linked = linked.join(first, F.col("group") == F.col("of_group"), "left")
