@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,10 +106,24 @@ def frequency_previous(now: Column, lower: Column, upper: Column, headway: Colum
     return F.when(now >= lower, lower + steps * headway)
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and the letters without them."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii()]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+#: Latin letters that aren't a letter with a mark, and what they are searched as.
+LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ħ": "h", "ı": "i"}
+
+
 def words(text: Column) -> Column:
-    """Distinct lower-case words without accents, of letters and digits."""
-    plain = F.translate(F.lower(text), "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.array_distinct(F.filter(F.split(plain, "[^a-z0-9]+"), lambda w: w != ""))
+    """Distinct lower-case words of letters and digits of any script, Latin ones without accents."""
+    plain = F.translate(F.lower(text), *_plain_letters())
+    for letter, told in LIGATURES.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(told))
+    plain = F.regexp_replace(plain, r"\p{Mn}+", "")
+    return F.array_distinct(F.filter(F.split(plain, r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != ""))
 
 
 def bigrams(word: Column) -> Column:

@@ -74,13 +74,14 @@ def day_shift(f: Feed) -> DataFrame:
     return rules.day_shifted(f.trip.select("id", "day", (F.col("start") * 2 - 50_000).alias("first")))
 
 
-@query("""WITH i AS (SELECT id AS impact_id, ['network', 'line', 'route', 'trip'][(k % 4 + 1)::INT] AS kind, CASE WHEN k % 4 = 0 THEN id % 40 ELSE id % 1000 END AS uri FROM event WHERE kind = 'error' AND k > 80),
+@query("""WITH i AS (SELECT id AS impact_id, k % 4 AS kind, CASE WHEN k % 4 = 0 THEN id % 40 ELSE id % 1000 END AS uri FROM event WHERE kind = 'error'),
     t AS (SELECT trip.id AS trip_id, route_id, line_id, network_id FROM trip JOIN route ON route.id = route_id JOIN line ON line.id = line_id)
-    SELECT DISTINCT impact_id, trip_id FROM i JOIN t ON uri = CASE kind WHEN 'network' THEN network_id WHEN 'line' THEN line_id WHEN 'route' THEN route_id ELSE trip_id END""")
+    SELECT impact_id, trip_id FROM i JOIN t ON uri = network_id WHERE kind = 0 UNION SELECT impact_id, trip_id FROM i JOIN t ON uri = line_id WHERE kind = 1
+    UNION SELECT impact_id, trip_id FROM i JOIN t ON uri = route_id WHERE kind = 2 UNION SELECT impact_id, trip_id FROM i JOIN t ON uri = trip_id WHERE kind = 3""")
 def informed_trips(f: Feed) -> DataFrame:
     k = F.col("k")
     kind = F.element_at(F.array(*map(F.lit, ("network", "line", "route", "trip"))), (k % 4 + 1).cast("int"))
-    impacts = f.event.where("kind = 'error' and k > 80").select(F.col("id").alias("impact_id"), kind.alias("kind"), F.when(k % 4 == 0, F.col("id") % 40).otherwise(F.col("id") % 1000).alias("uri"))
+    impacts = f.event.where("kind = 'error'").select(F.col("id").alias("impact_id"), kind.alias("kind"), F.when(k % 4 == 0, F.col("id") % 40).otherwise(F.col("id") % 1000).alias("uri"))
     lines = f.line.select(F.col("id").alias("line_id"), "network_id")
     trips = f.trip.select(F.col("id").alias("trip_id"), "route_id").join(f.route.select(F.col("id").alias("route_id"), "line_id"), "route_id").join(lines, "line_id")
     return rules.informed_trips(impacts, trips)
@@ -141,10 +142,10 @@ def crow_fly(f: Feed) -> DataFrame:
     return rules.crow_fly(f.route, 2.4, 48.4, 1.12, 15_000)
 
 
-@query("SELECT trip.id, headsign AS network, array_to_string(list_sort(list(DISTINCT mode)), ',') AS modes FROM (SELECT id, headsign FROM trip WHERE id % 2 = 0) trip JOIN (SELECT trip_id, mode FROM stop_time) s ON s.trip_id = trip.id GROUP BY 1, 2")
+@query("SELECT trip.id, headsign AS network, array_to_string(list_sort(list(DISTINCT mode)), ',') AS modes FROM trip JOIN (SELECT trip_id, mode FROM stop_time) s ON s.trip_id = trip.id GROUP BY 1, 2")
 def trip_modes(f: Feed) -> DataFrame:
     modes = f.stop_time.groupBy("trip_id").agg(F.array_join(F.sort_array(F.collect_set("mode")), ",").alias("modes"))
-    return f.trip.where("id % 2 = 0").join(modes, F.col("id") == F.col("trip_id")).select("id", F.col("headsign").alias("network"), "modes")
+    return f.trip.join(modes, F.col("id") == F.col("trip_id")).select("id", F.col("headsign").alias("network"), "modes")
 
 
 @query("SELECT trip_id, rank, stop_id, nth FROM (SELECT trip_id, rank, stop_id, row_number() OVER (PARTITION BY trip_id, stop_id ORDER BY rank)::INT AS nth FROM stop_time) WHERE nth > 1")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farandole.functions.columns import DAY, EARTH_RADIUS, RADIAN
+from farandole.operators.folds import folded
 
 #: Status of an amended stop event, in order of precedence, and the trip's effect.
 STATUSES = ("UNCHANGED", "ADDED", "ADDED_FOR_DETOUR", "DELETED", "DELETED_FOR_DETOUR", "DELAYED")
@@ -106,18 +107,17 @@ def boarding_positions(sections: DataFrame, positions: DataFrame, by: str) -> Da
 
 def split_overtaking(stop_times: DataFrame, patterns: DataFrame) -> DataFrame:
     """(trip_id, part): trips of one pattern (trip_id, pattern) split so that none overtakes
-    another of its part. Trips are taken by first departure and id, each joins the first part
-    whose every trip is strictly ahead of it, or behind, at all stops."""
+    another of its part. Trips are taken in order of their times and ids, each joins the first part
+    whose every trip is strictly ahead of it at all stops."""
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        trips = sorted((g.sort_values("rank")[["arrival", "departure"]].to_numpy().ravel().tolist(), t) for t, g in pdf.groupby("trip_id"))
+    def split(key: tuple, group: Iterator[tuple]) -> Iterator[tuple]:
         # In this order no trip is ahead of an earlier one at the first stop, so it has to be behind a
         # whole part at all stops: behind the part's last trip, which is behind the others.
-        width = len(trips[0][0]) if trips else 0
-        last = np.empty((16, width), np.int64)
-        used, out = 0, []
-        for times, trip in trips:
+        last, used = np.empty((16, 0), np.int64), 0
+        for times, trip in group:
             now = np.array(times, np.int64)
+            if not used:
+                last = np.empty((16, len(now)), np.int64)
             behind = (last[:used] < now).all(axis=1)
             n = int(behind.argmax()) if behind.any() else used
             if n == used:
@@ -125,10 +125,12 @@ def split_overtaking(stop_times: DataFrame, patterns: DataFrame) -> DataFrame:
                 if used > len(last):
                     last = np.concatenate([last, np.empty_like(last)])
             last[n] = now
-            out.append((trip, n))
-        return pd.DataFrame(out, columns=["trip_id", "part"])
+            yield trip, n
 
-    return stop_times.join(patterns, "trip_id").groupBy("pattern").applyInPandas(split, "trip_id long, part int")
+    stops = F.sort_array(F.collect_list(F.struct("rank", F.array("arrival", "departure").alias("t"))))
+    times = stop_times.groupBy("trip_id").agg(F.flatten(F.transform(stops, lambda s: s["t"])).alias("times"))
+    rows = times.join(patterns, "trip_id").select("pattern", "times", "trip_id")
+    return folded(rows, ["pattern"], ["times", "trip_id"], split, "trip_id long, part int")
 
 
 def mode_combinations(first: DataFrame, last: DataFrame, allowed: DataFrame) -> DataFrame:

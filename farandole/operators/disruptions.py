@@ -14,8 +14,15 @@ def impacted(trips: DataFrame, impacts: DataFrame, key: str, slot_hours: int = 2
     key, begin, end).
 
     Intervals meet in the time slots that both touch, and a pair counts in the first one that
-    they share, so nothing is met twice and no distinct is needed.
+    they share, so nothing is met twice and no distinct is needed. An open end (null) reaches as far
+    as any begin or end of either side does.
     """
+    spans = trips.select("begin", "end").unionByName(impacts.select("begin", "end")).select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("begin", "end")])
+    reach = spans.agg(F.min(F.least("begin", "end")).alias("first"), F.max(F.greatest("begin", "end")).alias("last")).first()
+    if reach["first"] is None:
+        return trips.join(impacts.select("impact_id", key), key).where("false").select("id", "impact_id")
+    low, high = F.lit(reach["first"]).cast("timestamp_ntz"), F.lit(reach["last"]).cast("timestamp_ntz") + F.expr("interval 1 second")
+    trips, impacts = (x.withColumns({"begin": F.coalesce(F.col("begin").cast("timestamp_ntz"), low), "end": F.coalesce(F.col("end").cast("timestamp_ntz"), high)}) for x in (trips, impacts))
     slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (slot_hours * 3600))
     last = lambda c: F.floor((F.unix_seconds(F.col(c).cast("timestamp")) - 1) / (slot_hours * 3600))
     left = trips.select("id", key, "begin", "end", F.explode(F.sequence(slot("begin"), F.greatest(slot("begin"), last("end")))).alias("slot"))
@@ -31,9 +38,10 @@ def cancelled_days(days: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def without_closed_stops(passages: DataFrame, closures: DataFrame) -> DataFrame:
-    """Passages (trip_id, stop_id, ts) that no closure (stop_id, begin, end) holds."""
+    """Passages (trip_id, stop_id, ts) that no closure (stop_id, begin, end) holds; a null begin or
+    end is open."""
     of = closures.select(F.col("stop_id").alias("c_stop"), "begin", "end")
-    held = (F.col("stop_id") == F.col("c_stop")) & (F.col("ts") >= F.col("begin")) & (F.col("ts") < F.col("end"))
+    held = (F.col("stop_id") == F.col("c_stop")) & (F.col("begin").isNull() | (F.col("ts") >= F.col("begin"))) & (F.col("end").isNull() | (F.col("ts") < F.col("end")))
     return passages.join(of, held, "left_anti")
 
 

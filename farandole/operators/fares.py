@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farandole.operators.folds import folded
+
 
 def od_tickets(journeys: DataFrame, fares: DataFrame) -> DataFrame:
     """The most specific fare of each journey (id and origin/destination levels `o_<level>`,
@@ -36,9 +39,9 @@ def best_fares(rides: DataFrame, price: int = 170, duration: int = 5400, max_cha
     others. The best label is the smallest (cost, tickets, changes).
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels: dict[tuple[float, int] | None, tuple[int, int, int]] = {None: (0, 0, 0)}
-        for at, kind in pdf.sort_values("nth")[["at", "kind"]].itertuples(index=False):
+    def fold(key: tuple, group: Iterator[tuple]) -> Iterator[tuple]:
+        labels: dict[tuple[int, int] | None, tuple[int, int, int]] = {None: (0, 0, 0)}
+        for _, at, kind in group:
             new: dict = {}
 
             def reach(state, cost, new=new):
@@ -53,10 +56,10 @@ def best_fares(rides: DataFrame, price: int = 170, duration: int = 5400, max_cha
                     reach((state[0], state[1] + 1), (cost, tickets, changes + 1))
                 reach((at, 0), (cost + price, tickets + 1, changes))
             labels = new
-        cost, tickets, changes = min(labels.values())
-        return pd.DataFrame({"journey_id": [pdf["journey_id"].iloc[0]], "cost": [cost], "tickets": [tickets], "changes": [changes]})
+        yield (*key, *min(labels.values()))
 
-    return rides.groupBy("journey_id").applyInPandas(fold, "journey_id string, cost long, tickets long, changes long")
+    rows = rides.select("journey_id", F.col("nth").cast("int"), F.col("at").cast("long"), "kind")
+    return folded(rows, ["journey_id"], ["nth"], fold, "journey_id string, cost long, tickets long, changes long")
 
 
 def cheapest(options: DataFrame, by: str) -> DataFrame:

@@ -4,35 +4,62 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farandole.functions.columns import haversine
+from farandole.functions.columns import EARTH_RADIUS, RADIAN, haversine
+from farandole.scratch import stored
 
 #: Metres of a degree of latitude, a little less than real, so that cells are large enough.
 DEGREE = 111_000.0
+#: Smaller rings that a nearest search tries first.
+RINGS = 3
 
 
-def radius_join(queries: DataFrame, points: DataFrame, metres: float, max_lat: float = 60.0) -> DataFrame:
+def radius_join(queries: DataFrame, points: DataFrame, metres: float) -> DataFrame:
     """(query_id, id, distance) of points (id, lon, lat) within so many metres of queries
-    (query_id, lon, lat), for latitudes up to max_lat.
+    (query_id, lon, lat), anywhere on earth.
 
-    Cells are as large as the radius: a query stands in its 3 x 3 cells and meets the points of each.
+    Rows of cells are as high as the radius; each row is cut into as many columns as keep a column
+    at least as wide as the radius there, around the whole circle of latitude. A query stands in the
+    3 x 3 cells around it and meets the points of each.
     """
     height = metres / DEGREE
-    width = height / math.cos(math.radians(max_lat))
-    cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
-    near = lambda c, size: F.explode(F.sequence(cell(c, size) - 1, cell(c, size) + 1))
-    asked = queries.select("query_id", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), near("lon", width).alias("x"), F.col("lat")).select("query_id", "q_lon", "q_lat", "x", near("lat", height).alias("y"))
-    held = points.select("id", "lon", "lat", cell("lon", width).alias("x"), cell("lat", height).alias("y"))
+    half = math.sin(min(math.pi / 2, metres / (2 * EARTH_RADIUS)))
+
+    def columns(row: Column) -> Column:
+        """Columns of a row, for the largest latitude that it or the next row holds."""
+        top = F.greatest(F.abs(row * height), F.abs((row + 1) * height)) + height
+        reach = F.lit(half) / F.cos(F.least(top, F.lit(89.999)) * RADIAN)
+        return F.when((top >= 89.999) | (reach >= 1), 1).otherwise(F.greatest(F.lit(1), F.floor(360 / (2 * F.asin(F.least(reach, F.lit(1.0))) / RADIAN) / 1.0001))).cast("long")
+
+    at = lambda lon, n: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n), n - 1).cast("long")
+    row = F.floor(F.col("lat") / height).cast("long")
+    asked = queries.select("query_id", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), F.explode(F.sequence(row - 1, row + 1)).alias("y")).withColumn("n", columns(F.col("y")))
+    around = F.array(*[F.pmod(at(F.col("q_lon"), F.col("n")) + k, F.col("n")) for k in (-1, 0, 1)])
+    asked = asked.select("query_id", "q_lon", "q_lat", "y", F.explode(F.array_distinct(around)).alias("x"))
+    held = points.select("id", "lon", "lat", row.alias("y")).withColumn("x", at(F.col("lon"), columns(F.col("y"))))
     met = asked.join(held, ["x", "y"]).withColumn("distance", haversine(F.col("q_lon"), F.col("q_lat"), F.col("lon"), F.col("lat")))
     return met.where(F.col("distance") <= metres).select("query_id", "id", "distance")
 
 
 def nearest(queries: DataFrame, points: DataFrame, metres: float, k: int) -> DataFrame:
-    """The k nearest points of each query within the radius; ties go to the smaller id."""
+    """The k nearest points of each query within the radius; ties go to the smaller id.
+
+    Rings grow: queries that find k points within a small radius are done, the others go on with
+    four times the radius, so that dense places never meet all points of a large one.
+    """
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return radius_join(queries, points, metres).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    done, left = None, queries.select("query_id", "lon", "lat")
+    for step in range(RINGS, -1, -1):
+        best = radius_join(left, points, metres / 4**step).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+        if step:
+            best = stored(best, "ring")
+            full = best.where(F.col("nth") == k).select("query_id")
+            left = stored(left.join(full, "query_id", "left_anti"), "ring-left")
+            best = best.join(full, "query_id", "left_semi")
+        done = best if done is None else done.unionByName(best)
+    return done
 
 
 def heat_grid(points: DataFrame, box: tuple[float, float, float, float], n: int) -> DataFrame:
@@ -41,11 +68,16 @@ def heat_grid(points: DataFrame, box: tuple[float, float, float, float], n: int)
     return points.groupBy(rank("lon", box[0], box[2]).alias("x"), rank("lat", box[1], box[3]).alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def uncovered_circles(circles: DataFrame, cell: float = 20_000.0) -> DataFrame:
-    """Circles (id, lon, lat, radius) that no larger circle contains. Radii are at most cell / 2
-    metres; circles meet those of their neighbouring cells."""
-    met = radius_join(circles.select(F.col("id").alias("query_id"), "lon", "lat"), circles, cell)
-    r = circles.select(F.col("id").alias("query_id"), F.col("radius").alias("own"))
-    other = circles.select("id", "radius")
-    inner = met.where("query_id <> id").join(r, "query_id").join(other, "id").where(F.col("distance") + F.col("own") < F.col("radius"))
-    return circles.join(inner.select(F.col("query_id").alias("id")), "id", "left_anti")
+def uncovered_circles(circles: DataFrame) -> DataFrame:
+    """Circles (id, lon, lat, radius) that no larger circle contains. Circles meet those of each
+    power of two of the radius in cells of that size."""
+    power = F.ceil(F.log2(F.greatest(F.col("radius"), F.lit(1.0)))).cast("int")
+    sized = circles.select("id", "lon", "lat", F.col("radius").alias("outer"), power.alias("power"))
+    own = circles.select(F.col("id").alias("query_id"), "lon", "lat", "radius")
+    inner = None
+    for p in sorted(r.power for r in sized.select("power").distinct().collect()):  # at most 25 on earth
+        held = sized.where(F.col("power") == p)
+        met = radius_join(own.where(F.col("radius") <= 2.0**p), held, 2.0**p).where("query_id <> id")
+        hit = met.join(own.select("query_id", "radius"), "query_id").join(held.select("id", "outer"), "id").where(F.col("distance") + F.col("radius") < F.col("outer")).select(F.col("query_id").alias("id"))
+        inner = hit if inner is None else inner.unionByName(hit)
+    return circles if inner is None else circles.join(inner.distinct(), "id", "left_anti")

@@ -33,13 +33,15 @@ def interned(days: DataFrame, key: str) -> DataFrame:
 
 def similar_calendars(objects: DataFrame, calendars: DataFrame, group: str, threshold: float) -> DataFrame:
     """(object, calendar, differing) of one group whose whole day sets, rows (group, object, day) and
-    (group, calendar, day), differ on at most round(threshold * days of the object)."""
+    (group, calendar, day), differ on at most round(threshold * days of the calendar). A calendar
+    without days has no rows and matches nothing; an object without days is not matched either."""
     left, right = _day_blocks(objects, group, "object"), _day_blocks(calendars, group, "calendar").withColumnRenamed("mask", "other")
     shared = left.join(right, [group, "block"]).groupBy(group, "object", "calendar").agg(F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("other")))).alias("both"))
     n, m = (x.groupBy(group, c).agg(F.sum(F.bit_count(k)).alias(c[0])) for x, c, k in ((left, "object", "mask"), (right, "calendar", "other")))
-    pairs = n.join(m, group).join(shared, [group, "object", "calendar"], "left")
+    # No more than the difference of the counts can be saved: far apart pairs go before days are met.
+    pairs = n.join(m, group).where(F.abs(F.col("o") - F.col("c")) <= F.round(F.col("c") * threshold)).join(shared, [group, "object", "calendar"], "left")
     differing = (F.col("o") + F.col("c") - 2 * F.coalesce("both", F.lit(0))).cast("int")
-    return pairs.where(differing <= F.round(F.col("o") * threshold)).select("object", "calendar", differing.alias("differing"))
+    return pairs.where(differing <= F.round(F.col("c") * threshold)).select("object", "calendar", differing.alias("differing"))
 
 
 def _day_blocks(days: DataFrame, group: str, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farandole.functions.columns import haversine
+from farandole.operators.geo import radius_join
 
 
 def first_found(sources: list[DataFrame], key: str) -> DataFrame:
@@ -55,10 +56,15 @@ def realtime_window(passages: DataFrame, by: str, begin: Column, duration: int,
 
 
 def outside_zones(objects: DataFrame, zones: DataFrame, radius_column: str = "radius") -> DataFrame:
-    """Objects (id, lon, lat) in no active zone (zone_lon, zone_lat, radius). Zones are few and
-    counted by the caller; the join is an anti join on distance."""
-    hit = haversine(F.col("lon"), F.col("lat"), F.col("zone_lon"), F.col("zone_lat")) <= F.col(radius_column)
-    return objects.join(F.broadcast(zones), hit, "left_anti")
+    """Objects (id, lon, lat) in no active zone (zone_lon, zone_lat, radius). Objects meet zones in
+    cells of the largest zone's size."""
+    told = zones.select(F.col("zone_lon").alias("lon"), F.col("zone_lat").alias("lat"), F.col(radius_column).alias("zone_radius")).where("zone_radius >= 0").withColumn("id", F.monotonically_increasing_id())
+    largest = told.agg(F.max("zone_radius")).first()[0]
+    if largest is None:
+        return objects
+    met = radius_join(objects.select(F.col("id").alias("query_id"), "lon", "lat"), told, float(max(largest, 1.0)))
+    hit = met.join(told.select("id", "zone_radius"), "id").where("distance <= zone_radius").select(F.col("query_id").alias("id")).distinct()
+    return objects.join(hit, "id", "left_anti")
 
 
 def coverage(instances: DataFrame, lon: Column, lat: Column) -> DataFrame:
@@ -72,8 +78,11 @@ def line_label(network: Column, mode: Column, code: Column, name: Column) -> Col
 
 
 def natural_order(code: Column) -> Column:
-    """Sort key of a code in which numbers count by value."""
-    return F.array_join(F.transform(F.regexp_extract_all(code, F.lit(r"([0-9]+|[^0-9]+)")), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    """Sort key of a code in which numbers count by value, of any length: leading zeros go and the
+    number of digits stands ahead."""
+    digits = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    number = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 6, "0"), digits(p))
+    return F.array_join(F.transform(F.regexp_extract_all(code, F.lit(r"([0-9]+|[^0-9]+)")), lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), "")
 
 
 def stale(backups: DataFrame, by: str, keep: int) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farandole.operators.folds import folded
 from farandole.scratch import stored
 
+
 def earliest_arrivals(stop_times: DataFrame, seeds: DataFrame, connections: DataFrame | None, rounds: int, bound: int) -> DataFrame:
     """Labels (stop_id, round, arrival) of a round-based search.
 
@@ -42,19 +46,43 @@ def isochrone(labels: DataFrame, start: int, duration: int) -> DataFrame:
     return best.select("stop_id", (F.col("b.arrival") - start).alias("duration"), F.greatest(F.lit(0), F.col("b.round") - 1).alias("transfers")).where(F.col("duration") <= duration)
 
 
-def shortest_paths(edges: DataFrame, origins: DataFrame, radius: int, rounds: int = 1000) -> DataFrame:
-    """(origin, node, cost) within the radius over edges (a, b, cost), for all origins at once:
-    a round relaxes the edges of the nodes that the last one improved."""
-    best = frontier = stored(origins.select("origin", "node", F.lit(0).cast("long").alias("cost")), "paths")
+def shortest_paths(edges: DataFrame, origins: DataFrame, radius: int, rounds: int = 1000, compact: int = 8) -> DataFrame:
+    """(origin, node, cost, previous) within the radius over edges (a, b, cost), for all origins at
+    once: a round relaxes the edges of the nodes that the last one improved. previous is the node
+    that a cheapest path comes from, the smallest of them; null at the origin.
+
+    Rounds only append what they improved; every few of them the labels are compacted. More rounds
+    than given is an error, never a result that lacks some.
+    """
+    schema = ["origin", "node", "cost", "previous"]
+    frontier = stored(origins.select("origin", "node", F.lit(0).cast("long").alias("cost"), F.lit(None).cast(edges.schema["a"].dataType).alias("previous")), "paths")
+    best = frontier
     step = edges.select(F.col("a").alias("node"), "b", F.col("cost").alias("more"))
-    for _ in range(rounds):
-        ahead = frontier.join(step, "node").select("origin", F.col("b").alias("node"), (F.col("cost") + F.col("more")).alias("cost")).where(F.col("cost") <= radius).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
-        held = best.select("origin", "node", F.col("cost").alias("before"))
-        frontier = stored(ahead.join(held, ["origin", "node"], "left").where("before is null or cost < before").select("origin", "node", "cost"), "paths")
+    label = F.struct("cost", "previous")
+    for k in range(1, rounds + 1):
+        ahead = frontier.join(step, "node").select("origin", F.col("b").alias("node"), (F.col("cost") + F.col("more")).alias("cost"), F.col("node").alias("previous")).where(F.col("cost") <= radius).groupBy("origin", "node").agg(F.min(label).alias("l")).select("origin", "node", "l.cost", "l.previous")
+        held = best.groupBy("origin", "node").agg(F.min("cost").alias("before"))
+        frontier = stored(ahead.join(held, ["origin", "node"], "left").where("before is null or cost < before").select(*schema), "paths")
         if frontier.isEmpty():
-            break
-        best = stored(best.unionByName(frontier).groupBy("origin", "node").agg(F.min("cost").alias("cost")), "paths")
-    return best
+            return best.groupBy("origin", "node").agg(F.min(label).alias("l")).select("origin", "node", "l.cost", "l.previous")
+        best = best.unionByName(frontier)
+        if k % compact == 0:
+            best = stored(best.groupBy("origin", "node").agg(F.min(label).alias("l")).select("origin", "node", "l.cost", "l.previous"), "paths")
+    raise RuntimeError(f"labels still improve after {rounds} rounds")
+
+
+def path_nodes(paths: DataFrame, ends: DataFrame, longest: int = 10_000) -> DataFrame:
+    """(origin, node, nth, at): the nodes of the cheapest path to each end (origin, node), backwards
+    from the end (nth 0) to the origin, by the labels of shortest_paths."""
+    back = paths.select(F.col("origin").alias("of"), F.col("node").alias("here"), "previous")
+    now = stored(ends.select("origin", "node", F.col("node").alias("at")).join(paths.select("origin", "node"), ["origin", "node"], "left_semi"), "path")
+    out = now.select("origin", "node", F.lit(0).alias("nth"), "at")
+    for k in range(1, longest + 1):
+        now = stored(now.join(back, (F.col("origin") == F.col("of")) & (F.col("at") == F.col("here"))).where("previous is not null").select("origin", "node", F.col("previous").alias("at")), "path")
+        if now.isEmpty():
+            return out
+        out = out.unionByName(now.select("origin", "node", F.lit(k).alias("nth"), "at"))
+    raise RuntimeError(f"a path has more than {longest} nodes")
 
 
 def undominated(rows: DataFrame, by: str, key: str, smaller: list[str]) -> DataFrame:
@@ -82,67 +110,90 @@ def skyline(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.join(kept, [a, b], "left_semi")
 
 
-def pairwise_votes(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
-    """(route_id, a, b, votes): over stops that two trips of a route share, how many more the
-    first one reaches earlier than later; only pairs with a majority, the earlier trip first."""
-    rows = stop_times.join(trips.select(F.col("id").alias("trip_id"), "route_id"), "trip_id").groupBy("route_id", "stop_id", "trip_id").agg(F.min("arrival").alias("arrival"))
-    other = rows.select("route_id", "stop_id", F.col("trip_id").alias("b"), F.col("arrival").alias("b_arrival"))
-    pairs = rows.withColumnRenamed("trip_id", "a").join(other, ["route_id", "stop_id"]).where("a <> b")
-    return pairs.groupBy("route_id", "a", "b").agg(F.sum(F.signum(F.col("b_arrival") - F.col("arrival"))).cast("long").alias("votes")).where("votes > 0")
-
-
-def ranked_pairs(votes: DataFrame, trips: DataFrame) -> DataFrame:
-    """(route_id, trip_id, place): trips of each route ordered by ranked pairs. Majorities are
-    taken strongest first (ties: smaller ids), those that would close a cycle are skipped, and
-    the trips are sorted topologically, the smallest start and id first among free ones."""
-
-    def order(votes: pd.DataFrame, trips: pd.DataFrame) -> pd.DataFrame:
-        after: dict[int, set[int]] = {t: set() for t in trips["id"]}  # everything known to come later
-        ahead: dict[int, set[int]] = {t: set() for t in trips["id"]}
-        for a, b, _ in votes.sort_values(["votes", "a", "b"], ascending=[False, True, True])[["a", "b", "votes"]].itertuples(index=False):
-            if a in after[b]:
+def pairwise_votes(stop_times: DataFrame, trips: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, a, b, votes): over stops that two trips (id, *by) of a page share, how many more the
+    first one reaches earlier than later; only pairs with a majority, the earlier trip first. A
+    page is what a reader sees at once, a route's or a line's trips of one day."""
+    rows = stop_times.join(trips.select(F.col("id").alias("trip_id"), *by), "trip_id").groupBy(*by, "stop_id", "trip_id").agg(F.min("arrival").alias("arrival"))
+    other = rows.select(*by, "stop_id", F.col("trip_id").alias("b"), F.col("arrival").alias("b_arrival"))
+    pairs = rows.withColumnRenamed("trip_id", "a").join(other, [*by, "stop_id"]).where("a <> b")
+    return pairs.groupBy(*by, "a", "b").agg(F.sum(F.signum(F.col("b_arrival") - F.col("arrival"))).cast("long").alias("votes")).where("votes > 0")
+
+
+def ranked_pairs(votes: DataFrame, trips: DataFrame, by: list[str], kinds: str) -> DataFrame:
+    """(*by, trip_id, place): trips (id, *by, start) of each page ordered by ranked pairs. Majorities
+    are taken strongest first (ties: smaller ids), those that would close a cycle are skipped, and
+    the trips are sorted topologically, the smallest start and id first among free ones. kinds
+    declares the columns of by."""
+
+    def order(key: tuple, group: Iterator[tuple]) -> Iterator[tuple]:
+        # Trips come first (by start and id); what follows a trip is a bit set of their numbers.
+        number: dict[int, int] = {}
+        after: list[int] = []
+        ahead: list[int] = []
+        for kind, _, _, a, b in group:
+            if not kind:
+                number[a] = len(after)
+                after.append(0), ahead.append(0)
                 continue
-            for x in {a} | ahead[a]:
-                new = ({b} | after[b]) - after[x]
-                after[x] |= new
-                for y in new:
-                    ahead[y].add(x)
-        rows = sorted(trips[["id", "start"]].itertuples(index=False), key=lambda t: (len(ahead[t[0]]), t[1], t[0]))
-        placed: list[int] = []
-        left = [t[0] for t in rows]
-        while left:
-            free = next(t for t in left if ahead[t] <= set(placed))
-            placed.append(free)
-            left.remove(free)
-        route = trips["route_id"].iloc[0] if len(trips) else None
-        return pd.DataFrame({"route_id": [route] * len(placed), "trip_id": placed, "place": range(len(placed))})
-
-    # A route's trips of one day's page: a group is a page, not a table.
-    own = trips.select(F.col("id").alias("id_"), F.col("route_id").alias("route_"), F.col("start").alias("start_")).toDF("id", "route_id", "start")
-    return votes.groupBy("route_id").cogroup(own.groupBy("route_id")).applyInPandas(order, "route_id long, trip_id long, place int")
+            p, q = number[a], number[b]
+            if after[q] >> p & 1:
+                continue
+            below, above = after[q] | 1 << q, ahead[p] | 1 << p
+            for x in range(len(after)):
+                if above >> x & 1:
+                    after[x] |= below
+                if below >> x & 1:
+                    ahead[x] |= above
+        ids = list(number)
+        left = sorted(range(len(ids)), key=lambda x: (ahead[x].bit_count(), x))
+        # A trip has more trips ahead of it than each of those has: this order is a topological one.
+        for place, x in enumerate(left):
+            yield (*key, ids[x], place)
+
+    empty = F.lit(0).cast("long")
+    nodes = trips.select(*by, F.lit(0).alias("kind"), F.col("start").cast("long").alias("rank"), F.col("id").alias("second"), F.col("id").alias("a"), empty.alias("b"))
+    edges = votes.select(*by, F.lit(1).alias("kind"), (-F.col("votes")).alias("rank"), F.col("a").alias("second"), "a", "b")
+    return folded(nodes.unionByName(edges), by, ["kind", "rank", "second", "b"], order, f"{kinds}, trip_id long, place int")
 
 
 def thermometer(stop_lists: DataFrame) -> DataFrame:
-    """(route_id, place, stop_id): the stop lists of a route merged into one by topological order;
-    a stop that would close a cycle is put where its first list has it."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        first: dict[int, tuple[int, int]] = {}
-        ahead: dict[int, set[int]] = {}
-        for n, stops in enumerate(pdf.sort_values("trip_id")["stops"]):
-            for k, s in enumerate(stops):
-                first.setdefault(s, (n, k))
-                ahead.setdefault(s, set())
-            for a, b in zip(stops, stops[1:], strict=False):
-                if a != b:
-                    ahead[b].add(a)
-        out: list[int] = []
-        left = sorted(first, key=first.get)
-        while left:
-            done = set(out)
-            free = next((s for s in left if ahead[s] <= done), left[0])
-            out.append(free)
-            left.remove(free)
-        return pd.DataFrame({"route_id": [pdf["route_id"].iloc[0]] * len(out), "place": range(len(out)), "stop_id": out})
-
-    return stop_lists.groupBy("route_id").applyInPandas(merge, "route_id long, place int, stop_id long")
+    """(route_id, place, stop_id): the stop lists (route_id, trip_id, stops) of a route merged into
+    one by topological order; a stop that would close a cycle is put where its first list has it.
+
+    Lists are reduced to a route's distinct stops and neighbours before any route is merged.
+    """
+    each = stop_lists.select("route_id", "trip_id", "stops", F.posexplode("stops").alias("pos", "stop_id"))
+    stops = each.groupBy("route_id", "stop_id").agg(F.min(F.struct("trip_id", "pos")).alias("f"))
+    nodes = stops.select("route_id", F.lit(0).alias("kind"), F.col("f.trip_id").alias("first"), F.col("f.pos").cast("long").alias("second"), F.col("stop_id").alias("a"), F.lit(0).cast("long").alias("b"))
+    edges = each.select("route_id", F.col("stop_id").alias("a"), F.get("stops", F.col("pos") + 1).alias("b")).where("b is not null and a <> b").distinct()
+    edges = edges.select("route_id", F.lit(1).alias("kind"), F.col("a").alias("first"), F.col("b").alias("second"), "a", "b")
+
+    def merge(key: tuple, group: Iterator[tuple]) -> Iterator[tuple]:
+        number: dict[int, int] = {}
+        below: list[list[int]] = []
+        waits: list[int] = []
+        for kind, _, _, a, b in group:
+            if kind:
+                below[number[a]].append(number[b])
+                waits[number[b]] += 1
+            else:
+                number[a] = len(below)
+                below.append([]), waits.append(0)
+        ids, done = list(number), [False] * len(below)
+        free, first = [n for n, w in enumerate(waits) if not w], 0
+        heapify(free)
+        for place in range(len(ids)):
+            while first < len(ids) and done[first]:
+                first += 1
+            while free and done[free[0]]:
+                heappop(free)
+            n = heappop(free) if free else first
+            done[n] = True
+            yield (*key, place, ids[n])
+            for m in below[n]:
+                waits[m] -= 1
+                if not waits[m] and not done[m]:
+                    heappush(free, m)
+
+    return folded(nodes.unionByName(edges), ["route_id"], ["kind", "first", "second"], merge, "route_id long, place int, stop_id long")

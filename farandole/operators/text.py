@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,27 +31,22 @@ def fuzzy_search(index: DataFrame, token: str, missing: int = 25) -> DataFrame:
 
 def longest_common(rows: DataFrame, query: str, text: str = "name") -> DataFrame:
     """(id, lcs, position): length of the longest substring that the lower-case text shares with
-    the query, and the last index in the text where one ends (-1 if none)."""
-
-    def one(s: str) -> tuple[int, int]:
-        best, end = 0, -1
-        ahead = [0] * (len(query) + 1)
-        for i, c in enumerate(s):
-            row = [0] * (len(query) + 1)
-            for j, d in enumerate(query):
-                if c == d:
-                    row[j + 1] = ahead[j] + 1
-                    if row[j + 1] > best:
-                        best, end = row[j + 1], i
-            ahead = row
-        return best, end
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [one((s or "").lower()) for s in pdf[text]]
-            yield pd.DataFrame({"id": pdf["id"], "lcs": [g[0] for g in got], "position": [g[1] for g in got]})
-
-    return rows.select("id", text).mapInPandas(run, "id long, lcs int, position int")
+    the query, and the last index in the text where the first such one ends (-1 if none)."""
+    if not query:
+        return rows.select("id", F.lit(0).alias("lcs"), F.lit(-1).alias("position"))
+    letters = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), ""), lambda c: c != "")
+    # row: for each letter of the query how long the common run is that ends at it and at this letter.
+    start = F.struct(F.array_repeat(F.lit(0), len(query)).alias("row"), F.lit(0).alias("lcs"), F.lit(-1).alias("position"), F.lit(0).alias("at"))
+
+    def step(held: Column, letter: Column) -> Column:
+        run = lambda k: F.when(letter == query[k], (held["row"][k - 1] if k else F.lit(0)) + 1).otherwise(0)
+        row = F.array(*[run(k) for k in range(len(query))])
+        longest = F.array_max(row)
+        better = longest > held["lcs"]
+        return F.struct(row.alias("row"), F.greatest(longest, held["lcs"]).alias("lcs"), F.when(better, held["at"]).otherwise(held["position"]).alias("position"), (held["at"] + 1).alias("at"))
+
+    found = F.aggregate(letters, start, step)
+    return rows.select("id", found.alias("f")).select("id", "f.lcs", "f.position")
 
 
 def quality(missing: Column, length_difference: Column, score: Column, best: Column, weight: int = 10) -> Column:

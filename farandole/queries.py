@@ -120,9 +120,9 @@ def ptref_between(f: Feed) -> DataFrame:
     return sets.between(_trip_periods(f), F.lit("1998-02-01").cast("timestamp_ntz"), F.lit("1998-03-01").cast("timestamp_ntz")).select("id")
 
 
-@query("SELECT id FROM trip WHERE day + to_seconds(start) <= TIMESTAMP '1998-02-10 12:00:00' AND day + to_seconds(start + 3600) > TIMESTAMP '1998-02-10 12:00:00'")
+@query("SELECT id FROM trip WHERE day + to_seconds(start) <= TIMESTAMP '1998-03-14 06:00:00' AND day + to_seconds(start + 3600) > TIMESTAMP '1998-03-14 06:00:00'")
 def ptref_active_at(f: Feed) -> DataFrame:
-    now = F.lit("1998-02-10 12:00:00").cast("timestamp_ntz")
+    now = F.lit("1998-03-14 06:00:00").cast("timestamp_ntz")
     return _trip_periods(f).where((F.col("begin") <= now) & (F.col("end") > now)).select("id")
 
 
@@ -196,14 +196,17 @@ def validity_interned(f: Feed) -> DataFrame:
     return periods.interned(periods.days_of(_periods(f), "route_id", F.col("mask")), "route_id")
 
 
-@query(f"""WITH {_PERIODS}, m AS (SELECT route_id, bit_or(1::BIGINT << (day - DATE '1998-01-01')::INT) AS mask FROM valid WHERE day BETWEEN DATE '1998-01-01' AND DATE '1998-03-04' GROUP BY 1),
-    n AS (SELECT line_id AS "group", route_id AS object, mask FROM m JOIN route ON route.id = route_id)
-    SELECT a.object, b.object AS calendar, bit_count(xor(a.mask, b.mask))::INT AS differing FROM n a JOIN n b ON a."group" = b."group" WHERE bit_count(xor(a.mask, b.mask)) <= round(bit_count(a.mask) * 0.5)""")
+@query(f"""WITH {_PERIODS}, o AS (SELECT DISTINCT line_id AS "group", route_id AS object, day FROM valid JOIN route ON route.id = route_id),
+    c AS (SELECT line_id AS "group", route_id AS calendar, day FROM valid JOIN route ON route.id = route_id WHERE direction_type = 'BUILDING' AND isodow(day) < 6),
+    shared AS (SELECT object, calendar, count(*) AS shared FROM o JOIN c USING ("group", day) GROUP BY 1, 2), n AS (SELECT "group", object, count(*) AS n FROM o GROUP BY 1, 2), m AS (SELECT "group", calendar, count(*) AS m FROM c GROUP BY 1, 2)
+    SELECT object, calendar, (n + m - 2 * coalesce(shared, 0))::INT AS differing FROM n JOIN m USING ("group") LEFT JOIN shared USING (object, calendar) WHERE n + m - 2 * coalesce(shared, 0) <= round(m * 0.4)""")
 def calendar_match(f: Feed) -> DataFrame:
-    """Of the 63 days that the SQL compares; the operator takes whole day sets."""
-    days = periods.days_of(_periods(f), "route_id", F.col("mask")).where("day between '1998-01-01' and '1998-03-04'")
-    rows = days.join(f.route.select(F.col("id").alias("route_id"), F.col("line_id").alias("group")), "route_id").withColumnRenamed("route_id", "object")
-    return periods.similar_calendars(rows, rows.withColumnRenamed("object", "calendar"), "group", 0.5)
+    """Calendars are the working days of some routes."""
+    days = periods.days_of(_periods(f), "route_id", F.col("mask"))
+    of = f.route.select(F.col("id").alias("route_id"), F.col("line_id").alias("group"), "direction_type")
+    rows = days.join(of, "route_id")
+    calendars = rows.where("direction_type = 'BUILDING' and weekday(day) < 5").select("group", F.col("route_id").alias("calendar"), "day")
+    return periods.similar_calendars(rows.select("group", F.col("route_id").alias("object"), "day"), calendars, "group", 0.4)
 
 
 @query("""WITH d AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2025-12-31', INTERVAL 1 DAY))::DATE AS day),
@@ -360,9 +363,9 @@ def two_day_table(f: Feed) -> DataFrame:
     return timetable.two_day_table(f.trip.select(F.col("id").alias("trip_id"), "day"), f.stop_time.select("trip_id", "stop_id", "departure"))
 
 
-@query("SELECT id AS stop_id FROM stop_point WHERE id NOT IN (SELECT stop_id FROM stop_time WHERE mode = 'O')")
+@query("SELECT id AS stop_id FROM stop_point WHERE id NOT IN (SELECT stop_id FROM stop_time WHERE mode = 'O' AND length > 40)")
 def empty_points(f: Feed) -> DataFrame:
-    return timetable.empty_points(f.stop_point.select(F.col("id").alias("stop_id")), f.stop_time.where("mode = 'O'"), ["stop_id"])
+    return timetable.empty_points(f.stop_point.select(F.col("id").alias("stop_id")), f.stop_time.where("mode = 'O' and length > 40"), ["stop_id"])
 
 
 @query("""WITH r AS (SELECT entity_id, id, ts FROM event WHERE kind = 'error') SELECT entity_id, id, ts FROM event WHERE kind = 'view' AND entity_id NOT IN (SELECT entity_id FROM r WHERE id % 50 = 0) UNION ALL SELECT entity_id, id, ts FROM r WHERE id % 50 = 0""")
@@ -462,23 +465,24 @@ def postal_range(f: Feed) -> DataFrame:
 # Routing
 
 
-@query("""WITH r0 AS (SELECT 1::BIGINT AS stop_id, 30000::BIGINT AS arrival),
-    b1 AS (SELECT trip_id, min(rank) AS f FROM stop_time JOIN r0 USING (stop_id) WHERE departure >= r0.arrival GROUP BY 1), g1 AS (SELECT stop_id, min(arrival) AS arrival FROM stop_time JOIN b1 USING (trip_id) WHERE rank > f AND arrival <= 90000 GROUP BY 1), r1 AS (SELECT g1.* FROM g1 LEFT JOIN r0 USING (stop_id) WHERE r0.arrival IS NULL OR g1.arrival < r0.arrival),
-    o1 AS (SELECT stop_id, min(arrival) AS arrival FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1) GROUP BY 1),
-    b2 AS (SELECT trip_id, min(rank) AS f FROM stop_time JOIN r1 USING (stop_id) WHERE departure >= r1.arrival GROUP BY 1), g2 AS (SELECT stop_id, min(arrival) AS arrival FROM stop_time JOIN b2 USING (trip_id) WHERE rank > f AND arrival <= 90000 GROUP BY 1), r2 AS (SELECT g2.* FROM g2 LEFT JOIN o1 USING (stop_id) WHERE o1.arrival IS NULL OR g2.arrival < o1.arrival)
-    SELECT stop_id, 0 AS round, arrival FROM r0 UNION ALL SELECT stop_id, 1, arrival FROM r1 UNION ALL SELECT stop_id, 2, arrival FROM r2""")
+_REACH = """WITH RECURSIVE reach(stop_id, round, arrival) AS (SELECT 1::BIGINT, 0, 30000::BIGINT
+        UNION SELECT got.stop_id, reach.round + 1, got.arrival FROM reach JOIN stop_time b ON b.stop_id = reach.stop_id AND b.departure >= reach.arrival JOIN stop_time got ON got.trip_id = b.trip_id AND got.rank > b.rank WHERE got.arrival <= 70000 AND reach.round < 10),
+    first AS (SELECT stop_id, round, min(arrival) AS arrival FROM reach GROUP BY 1, 2),
+    label AS (SELECT stop_id, round, arrival FROM (SELECT *, min(arrival) OVER (PARTITION BY stop_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM first) WHERE before IS NULL OR arrival < before)"""
+
+
+@query(f"{_REACH} SELECT stop_id, round, arrival FROM label")
 def raptor_rounds(f: Feed) -> DataFrame:
-    return routing.earliest_arrivals(f.stop_time, _seed(f), None, 2, 90_000)
+    return routing.earliest_arrivals(f.stop_time, _seed(f), None, 10, 70_000)
 
 
 def _seed(f: Feed) -> DataFrame:
     return f.spark.createDataFrame([(1, 30_000)], "stop_id long, arrival long")
 
 
-@query(ORACLE_SQL["raptor_rounds"].split("SELECT stop_id, 0 AS round")[0].replace("WITH " + SQL.strip() + ",", "WITH ").strip() + """, l AS (SELECT stop_id, 0 AS round, arrival FROM r0 UNION ALL SELECT stop_id, 1, arrival FROM r1 UNION ALL SELECT stop_id, 2, arrival FROM r2)
-    SELECT stop_id, min(arrival) - 30000 AS duration, greatest(0, arg_min(round, arrival) - 1)::INT AS transfers FROM l GROUP BY 1 HAVING min(arrival) - 30000 <= 40000""")
+@query(f"{_REACH} SELECT stop_id, min(arrival) - 30000 AS duration, greatest(0, arg_min(round, arrival) - 1)::INT AS transfers FROM label GROUP BY 1")
 def isochrone_rows(f: Feed) -> DataFrame:
-    return routing.isochrone(routing.earliest_arrivals(f.stop_time, _seed(f), None, 2, 90_000), 30_000, 40_000)
+    return routing.isochrone(routing.earliest_arrivals(f.stop_time, _seed(f), None, 10, 70_000), 30_000, 40_000)
 
 
 _EDGES = "edge AS (SELECT stop_id AS a, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY rank) AS b FROM stop_time), step AS (SELECT a, b, min(300 + (a * 7 + b * 13) % 600)::BIGINT AS cost FROM edge WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2)"
@@ -493,7 +497,7 @@ def _edges(f: Feed) -> DataFrame:
     SELECT origin, node, min(cost)::BIGINT AS cost FROM walk GROUP BY 1, 2""")
 def street_shortest(f: Feed) -> DataFrame:
     origins = f.spark.createDataFrame([(k, k) for k in (1, 2, 3)], "origin long, node long")
-    return routing.shortest_paths(_edges(f), origins, 1000)
+    return routing.shortest_paths(_edges(f), origins, 1000).select("origin", "node", "cost")
 
 
 @query("SELECT id, size, price FROM stop_point a WHERE NOT EXISTS (SELECT 1 FROM stop_point b WHERE b.size <= a.size AND b.price <= a.price AND (b.size < a.size OR b.price < a.price))")
@@ -508,16 +512,22 @@ def second_pass_starts(f: Feed) -> DataFrame:
     return routing.undominated(rows, "route_id", "id", ["start", "price", "transfers"]).select("id", "route_id")
 
 
-@query("""WITH r AS (SELECT route_id, stop_id % 50 AS stop, trip_id, min(arrival) AS arrival FROM stop_time JOIN trip ON trip.id = trip_id GROUP BY 1, 2, 3)
-    SELECT a.route_id, a.trip_id AS a, b.trip_id AS b, sum(sign(b.arrival - a.arrival))::BIGINT AS votes FROM r a JOIN r b ON a.route_id = b.route_id AND a.stop = b.stop AND a.trip_id <> b.trip_id GROUP BY 1, 2, 3 HAVING votes > 0""")
+@query("""WITH r AS (SELECT line_id, day, stop_id % 50 AS stop, trip_id, min(arrival) AS arrival FROM stop_time JOIN trip ON trip.id = trip_id JOIN route ON route.id = route_id GROUP BY 1, 2, 3, 4)
+    SELECT a.line_id, a.day, a.trip_id AS a, b.trip_id AS b, sum(sign(b.arrival - a.arrival))::BIGINT AS votes FROM r a JOIN r b ON a.line_id = b.line_id AND a.day = b.day AND a.stop = b.stop AND a.trip_id <> b.trip_id GROUP BY 1, 2, 3, 4 HAVING votes > 0""")
 def pairwise_votes(f: Feed) -> DataFrame:
-    return routing.pairwise_votes(f.stop_time.withColumn("stop_id", F.col("stop_id") % 50), f.trip)
+    """A page holds a line's trips of one day."""
+    return routing.pairwise_votes(f.stop_time.withColumn("stop_id", F.col("stop_id") % 50), _line_trips(f), ["line_id", "day"])
+
+
+def _line_trips(f: Feed) -> DataFrame:
+    return f.trip.select("id", "route_id", "day", "start").join(f.route.select(F.col("id").alias("route_id"), "line_id"), "route_id").select("id", "line_id", "day", "start")
 
 
 @query()
 def ranked_pairs(f: Feed) -> DataFrame:
-    trips = f.trip.select("id", "route_id", "start")
-    return routing.ranked_pairs(routing.pairwise_votes(f.stop_time.withColumn("stop_id", F.col("stop_id") % 50), trips), trips)
+    trips = _line_trips(f)
+    votes = routing.pairwise_votes(f.stop_time.withColumn("stop_id", F.col("stop_id") % 50), trips, ["line_id", "day"])
+    return routing.ranked_pairs(votes, trips, ["line_id", "day"], "line_id long, day date")
 
 
 @query()
@@ -682,9 +692,9 @@ def equipment_report(f: Feed) -> DataFrame:
     return disruptions.equipment_report(f.stop_time.select("trip_id", "stop_id").join(stops, "stop_id").join(trips, "trip_id"))
 
 
-@query(f"""WITH {_TRIP_PERIODS} SELECT line_id, count(*)::BIGINT AS trips, min(t.id) AS first_trip FROM trip_period t JOIN route ON route.id = t.route_id WHERE begin <= TIMESTAMP '1998-02-10 12:00:00' AND "end" > TIMESTAMP '1998-02-10 12:00:00' GROUP BY 1""")
+@query(f"""WITH {_TRIP_PERIODS} SELECT line_id, count(*)::BIGINT AS trips, min(t.id) AS first_trip FROM trip_period t JOIN route ON route.id = t.route_id WHERE begin <= TIMESTAMP '1998-03-14 06:00:00' AND "end" > TIMESTAMP '1998-03-14 06:00:00' GROUP BY 1""")
 def vehicle_positions(f: Feed) -> DataFrame:
-    now = F.lit("1998-02-10 12:00:00").cast("timestamp_ntz")
+    now = F.lit("1998-03-14 06:00:00").cast("timestamp_ntz")
     active = _trip_periods(f).where((F.col("begin") <= now) & (F.col("end") > now)).join(f.route.select(F.col("id").alias("route_id"), "line_id"), "route_id")
     return active.groupBy("line_id").agg(F.count(F.lit(1)).alias("trips"), F.min("id").alias("first_trip"))
 

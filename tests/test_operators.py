@@ -13,9 +13,9 @@ def test_ranked_pairs(spark):
     rows = [(1, 0, 1, 10), (1, 1, 2, 20), (1, 2, 3, 30), (2, 0, 1, 11), (2, 1, 2, 19), (2, 2, 3, 29), (3, 0, 1, 9), (3, 1, 2, 21), (4, 0, 9, 5)]
     times = spark.createDataFrame(rows, "trip_id long, rank int, stop_id long, arrival long")
     trips = spark.createDataFrame([(1, 7, 10), (2, 7, 11), (3, 7, 9), (4, 8, 5)], "id long, route_id long, start long")
-    votes = routing.pairwise_votes(times, trips)
+    votes = routing.pairwise_votes(times, trips, ["route_id"])
     assert {tuple(r) for r in votes.collect()} == {(7, 2, 1, 1)}
-    got = {(r.route_id, r.place): r.trip_id for r in routing.ranked_pairs(votes, trips).collect()}
+    got = {(r.route_id, r.place): r.trip_id for r in routing.ranked_pairs(votes, trips, ["route_id"], "route_id long").collect()}
     assert got == {(7, 0): 3, (7, 1): 2, (7, 2): 1, (8, 0): 4}
 
 
