@@ -22,12 +22,14 @@ _local: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir).
 
-    Where the setting is missing there is no cluster: a temporary folder of this machine
-    serves, which goes when the interpreter ends.
+    With a local master, where no machine shares anything, a temporary folder serves if the setting is
+    missing; it goes when the interpreter ends. On a cluster the setting has to be there.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="farandole-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)

@@ -43,7 +43,7 @@ NTFS = GTFS | {
     "addresses": "address_id,street_name,house_number",
     "line_groups": "line_group_id,line_group_name,main_line_id",
     "line_group_links": "line_group_id,line_id",
-    "equipments": "equipment_id,wheelchair_boarding,sheltered,elevator,escalator",
+    "equipments": "equipment_id,wheelchair_boarding,sheltered,elevator,escalator,bike_accepted,bike_depot,visual_announcement,audible_announcement,appropriate_escort,appropriate_signage",
     "geometries": "geometry_id,geometry_wkt",
     "contributors": "contributor_id,contributor_name",
     "frames": "frame_id,contributor_id,frame_start_date,frame_end_date,frame_type,frame_desc,frame_system",
@@ -53,6 +53,13 @@ NTFS = GTFS | {
     "stops": "stop_id,visible,stop_name,stop_lat,stop_lon,stop_code,zone_id,location_type,parent_station,stop_timezone,equipment_id,contributor_id,geometry_id,address_id",
     "stop_times": "trip_id,arrival_time,departure_time,stop_id,stop_sequence,stop_headsign,pickup_type,drop_off_type,local_zone_id,date_time_estimated,boarding_duration,alighting_duration",
     "transfers": "from_stop_id,to_stop_id,min_transfer_time,real_min_transfer_time,equipment_id",
+    "trips": "route_id,service_id,trip_id,trip_headsign,block_id,company_id,physical_mode_id,trip_property_id,dataset_id,geometry_id",
+    "trip_properties": "trip_property_id,wheelchair_accessible,bike_accepted,air_conditioned,visual_announcement,audible_announcement,appropriate_escort,appropriate_signage,school_vehicle",
+    "feed_infos": "feed_info_param,feed_info_value",
+    "object_properties": "object_type,object_id,object_property_name,object_property_value",
+    "grid_rel_calendar_line": "grid_calendar_id,line_id",
+    "grid_rel_calendar_trip": "grid_calendar_id,trip_id",
+    "admin_stations": "admin_id,station_id",
 }
 MANDATORY = ("stops", "routes", "trips", "stop_times")
 #: Seconds of walking and of waiting where a transfer names none; most of a transfer.
@@ -65,7 +72,8 @@ class MissingFile(ValueError):
 
 
 def read_file(spark: SparkSession, folder: str, name: str, dialect: dict[str, str] = GTFS) -> DataFrame:
-    """One file of a feed with the registry's columns; nothing but mandatory files must exist."""
+    """One file of a feed with the registry's columns, and line_: a number that grows along the file.
+    Nothing but mandatory files must exist."""
     wanted = dialect[name].split(",")
     try:
         rows = spark.read.csv(f"{folder}/{name}.txt", header=True, mode="PERMISSIVE")
@@ -75,10 +83,10 @@ def read_file(spark: SparkSession, folder: str, name: str, dialect: dict[str, st
             raise
         if name in MANDATORY:
             raise MissingFile(name) from e
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in wanted))
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in wanted) + ", line_ long")
     if name in MANDATORY and not {c for c in wanted if c.endswith("_id")} & set(have):
         raise MissingFile(f"{name}: no id column")
-    return rows.select(*[F.col(f"`{have[c]}`").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in wanted])
+    return rows.select(*[F.col(f"`{have[c]}`").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in wanted], F.monotonically_increasing_id().alias("line_"))
 
 
 def read_feed(spark: SparkSession, folder: str, dialect: dict[str, str] = GTFS) -> dict[str, DataFrame]:
@@ -93,15 +101,23 @@ def day(c: str) -> Column:
     return F.try_to_date(F.col(c), "yyyyMMdd")
 
 
+def first_lines(rows: DataFrame, *key: str) -> DataFrame:
+    """Of rows with one key the first line of the file, without its number."""
+    rest = [c for c in rows.columns if c not in (*key, "line_")]
+    first = rows.groupBy(*key).agg(F.min(F.struct("line_", *rest)).alias("f"))
+    return first.select(*key, *[f"f.{c}" for c in rest])
+
+
 def stop_points(stops: DataFrame, keep_orphans: bool = True) -> DataFrame:
-    """Stops (location type 0) with valid coordinates and their area; repeated ids count once.
+    """Stops (location type 0) with valid coordinates and their area; of repeated ids the first line
+    counts.
 
     Standard dialect: an orphan's area is made of the stop itself. Extended dialect
     (keep_orphans off): orphans are left out.
     """
     placed = stops.where(F.coalesce(number("location_type"), F.lit(0)) == 0).withColumns({"lon": number("stop_lon", "double"), "lat": number("stop_lat", "double")})
     placed = placed.where(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90))
-    once = placed.groupBy("stop_id").agg(*[F.first(c).alias(c) for c in placed.columns if c != "stop_id"])
+    once = first_lines(placed, "stop_id")
     areas = stops.where(number("location_type") == 1).select(F.col("stop_id").alias("area_id")).distinct()
     joined = once.join(areas, F.col("parent_station") == F.col("area_id"), "left")
     if not keep_orphans:
@@ -145,8 +161,8 @@ def transfers(rows: DataFrame, stops: DataFrame) -> DataFrame:
     told = rows.where("min_transfer_time is not null and min_transfer_time <> ''")
     given, real = number("min_transfer_time"), number("real_min_transfer_time") if "real_min_transfer_time" in rows.columns else F.lit(None)
     both = told.join(side("from_stop_id", "from_stop"), "from_stop_id").join(side("to_stop_id", "to_stop"), "to_stop_id")
-    timed = both.select("from_stop", "to_stop", F.coalesce(given, F.lit(DEFAULT_WALK)).alias("display_duration"), F.coalesce(real, given, F.lit(DEFAULT_WALK + DEFAULT_WAIT)).alias("duration"))
-    return timed.where(F.col("duration") <= LONGEST_TRANSFER).dropDuplicates(["from_stop", "to_stop"])
+    timed = both.select("from_stop", "to_stop", "line_", F.coalesce(given, F.lit(DEFAULT_WALK)).alias("display_duration"), F.coalesce(real, given, F.lit(DEFAULT_WALK + DEFAULT_WAIT)).alias("duration"))
+    return first_lines(timed.where(F.col("duration") <= LONGEST_TRANSFER), "from_stop", "to_stop")
 
 
 def shapes(rows: DataFrame) -> DataFrame:
