@@ -103,3 +103,74 @@ def message_ages(messages: DataFrame, now: Column) -> DataFrame:
     """Minimum, mean and maximum age in seconds of each kind's messages."""
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return messages.groupBy("kind").agg(F.floor(F.min(age) / 1e6).cast("long").alias("youngest"), F.floor(F.avg(age) / 1e6).cast("long").alias("mean"), F.floor(F.max(age) / 1e6).cast("long").alias("oldest"))
+
+
+def least_priorities(impacts: DataFrame) -> DataFrame:
+    """(line_id, priority): the smallest severity priority of each line's impacts."""
+    return impacts.groupBy("line_id").agg(F.min("priority").alias("priority"))
+
+
+def report_order(lines: DataFrame, impacts: DataFrame) -> DataFrame:
+    """Lines (line_id, network_idx, code, name) of a traffic report in order: by network, smallest priority,
+    code and name; place counts from 0 within a network."""
+    order = Window.partitionBy("network_idx").orderBy(F.col("priority").asc_nulls_last(), "code", "name", "line_id")
+    return lines.join(least_priorities(impacts), "line_id", "left").withColumn("place", F.row_number().over(order) - 1)
+
+
+def in_order_of_change(impacts: DataFrame, by: str) -> DataFrame:
+    """Surviving impacts numbered as they are applied anew: by time of change, then uri."""
+    return impacts.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("updated_at", "uri")))
+
+
+def reduced_section(stop_times: DataFrame, sections: DataFrame) -> DataFrame:
+    """Stop times (trip_id, rank, stop_id) without those within a trip's reduced section (trip_id, from_rank,
+    to_rank, blocked: stop ids); a boundary stays unless its stop is blocked."""
+    met = stop_times.join(sections, "trip_id").where("rank between from_rank and to_rank")
+    edge = F.col("rank").isin(F.col("from_rank"), F.col("to_rank")) & ~F.coalesce(F.array_contains("blocked", F.col("stop_id")), F.lit(False))
+    return stop_times.join(met.where(~edge).select("trip_id", "rank").distinct(), ["trip_id", "rank"], "left_anti")
+
+
+def handleable(updates: DataFrame, trips: DataFrame, stops: DataFrame, add_stops: bool, add_trips: bool) -> DataFrame:
+    """Ids of realtime updates (id, trip_id, added, stops: array of (stop_id, added, arrival)) that can be
+    applied: kinds of change that are switched on, known trips (unless added) and stops, and no time
+    before the trip's first day."""
+    told = updates.withColumn("new_stops", F.exists("stops", lambda s: s["added"]))
+    told = told.where((F.lit(add_trips) | ~F.col("added")) & (F.lit(add_stops) | ~F.col("new_stops")) & ~F.exists("stops", lambda s: s["arrival"] < 0))
+    known = told.join(trips.select(F.col("id").alias("trip_id")).distinct(), "trip_id", "left_semi").where("not added").unionByName(told.where("added"))
+    unknown = known.select("id", F.explode("stops.stop_id").alias("stop_id")).join(stops.select(F.col("id").alias("stop_id")).distinct(), "stop_id", "left_anti")
+    return known.join(unknown.select("id").distinct(), "id", "left_anti").select("id")
+
+
+def added_trips(messages: DataFrame, routes: DataFrame, companies: DataFrame, modes: DataFrame) -> DataFrame:
+    """Added trips (id, route_id, company_id, mode_id) with defaults for what they leave out (a route and a
+    line of their own); one that names an unknown company or mode is rejected, as is an unknown route."""
+    out = messages
+    for c, known in (("route_id", routes), ("company_id", companies), ("mode_id", modes)):
+        out = out.join(known.select(F.col("id").alias(f"known_{c}"), F.lit(True).alias(f"has_{c}")).distinct(), F.col(c) == F.col(f"known_{c}"), "left").where(F.col(c).isNull() | F.col(f"has_{c}"))
+    own = F.concat(F.lit("route:added:"), F.col("id").cast("string"))
+    return out.select("id", F.coalesce(F.col("route_id").cast("string"), own).alias("route_id"), F.col("route_id").isNull().alias("new_route"), F.coalesce(F.col("company_id").cast("string"), F.lit("default_company")).alias("company_id"), F.coalesce(F.col("mode_id").cast("string"), F.lit("default_mode")).alias("mode_id"))
+
+
+def relevant_delays(updates: DataFrame, base: DataFrame) -> DataFrame:
+    """Trips of delay updates (trip_id, rank, arrival, departure) of which a stop time differs from the
+    base's or isn't there."""
+    told = base.select("trip_id", "rank", F.col("arrival").alias("b_arrival"), F.col("departure").alias("b_departure"))
+    met = updates.join(told, ["trip_id", "rank"], "left")
+    return met.where("b_arrival is null or arrival <> b_arrival or departure <> b_departure").select("trip_id").distinct()
+
+
+def from_messages(messages: DataFrame) -> DataFrame:
+    """One row per impact of told disruptions (id, cause, impacts: array of (id, severity, entities: array of
+    (kind, id))) and informed object: disruption_id, cause, impact_id, effect, kind and object_id. A severity
+    without an effect is UNKNOWN_EFFECT; entities without a kind are left out."""
+    each = messages.select(F.col("id").alias("disruption_id"), "cause", F.explode("impacts").alias("i"))
+    out = each.select("disruption_id", "cause", F.col("i.id").alias("impact_id"), F.coalesce("i.severity", F.lit("UNKNOWN_EFFECT")).alias("effect"), F.explode("i.entities").alias("e"))
+    return out.select("disruption_id", "cause", "impact_id", "effect", F.col("e.kind").alias("kind"), F.col("e.id").alias("object_id")).where("kind is not null")
+
+
+def erasable_trips(trips: DataFrame, stop_times: DataFrame, days: DataFrame) -> DataFrame:
+    """Ids of trips to remove: flagged, without stop times, with a negative time, or never valid."""
+    times = stop_times.groupBy(F.col("trip_id").alias("id")).agg(F.min(F.least("arrival", "departure")).alias("least"))
+    valid = days.select(F.col("trip_id").alias("id"), F.lit(True).alias("valid")).distinct()
+    told = trips.join(times, "id", "left").join(valid, "id", "left")
+    return told.where("to_delete or least is null or least < 0 or valid is null").select("id")

@@ -78,3 +78,28 @@ def indexed(rows: DataFrame, *order: str | Column) -> DataFrame:
     offsets = totals.select("task", ahead.alias("ahead"))
     out = placed.join(F.broadcast(offsets), task == F.col("task"))
     return out.withColumn("idx", F.col("ahead") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("task", "ahead", "place")
+
+
+def with_headsign(trips: DataFrame, stop_times: DataFrame, sign: str) -> DataFrame:
+    """Ids of trips whose own headsign or that of one of their stop times is the sign."""
+    own = trips.where(F.col("headsign") == sign).select("id")
+    return own.unionByName(stop_times.where(F.col("headsign") == sign).select(F.col("trip_id").alias("id"))).distinct()
+
+
+def with_disruption(trips: DataFrame, informed: DataFrame) -> DataFrame:
+    """Ids of trips that an impact of effect NO_SERVICE informs (trip_id, effect)."""
+    return trips.select("id").join(informed.where("effect = 'NO_SERVICE'").select(F.col("trip_id").alias("id")), "id", "left_semi")
+
+
+def of_odt_level(lines: DataFrame, level: str) -> DataFrame:
+    """Ids of lines (id, on_demand, zonal) of a level: scheduled has no trip on demand, with_stops none to
+    zones, zonal one to zones, all is any."""
+    rule = {"scheduled": ~F.col("on_demand") & ~F.col("zonal"), "with_stops": ~F.col("zonal"), "zonal": F.col("zonal"), "all": F.lit(True)}
+    return lines.where(rule[level]).select("id")
+
+
+def required(rows: DataFrame) -> DataFrame:
+    """rows, or an error if there are none: for the edge of an API, not within plans."""
+    if rows.isEmpty():
+        raise LookupError("unable to find object")
+    return rows
