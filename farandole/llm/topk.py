@@ -1,8 +1,9 @@
 """Exact top-k by inner product: columnar branch and bound over quantised vectors.
 
 Vectors are packed into blocks in vertical layout (one row per dimension). Every block of queries
-meets every block of candidates once: candidate blocks are dealt by (query block, slot) with the
-query block ahead of them, and a task streams them past the query block. For some queries at a
+meets every block of candidates once: as many query blocks as CHUNK_BYTES hold are broadcast, and
+tasks stream the stored candidate blocks past them, chunk after chunk; no vector is shuffled after
+it was packed. For some queries at a
 time, scores are accumulated STEP dimensions at a time, those with the queries' largest mass
 first; by Cauchy-Schwarz what the remaining dimensions can add is at most the product of the
 remaining masses, and candidates that reach no query's k-th best score so far are compacted away.
@@ -20,12 +21,12 @@ smaller vec_id. An empty table gives no rows. Columns other than vec_id and embe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -36,8 +37,8 @@ SCALE = 64
 QUERY_ROWS, CANDIDATE_ROWS, STEP = 2048, 8192, 16
 #: Queries for which a candidate block is compacted together.
 TOGETHER = 32
-#: Candidate blocks that one task streams past a query block, about.
-BLOCKS_A_TASK = 4
+#: Bytes of query blocks that are broadcast at once; a block beyond it goes alone.
+CHUNK_BYTES = 8 << 20
 _EXACT, _LONG = 1 << 53, (1 << 63) - 1
 
 
@@ -152,42 +153,60 @@ class Search:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(row), pa.array(ids), pa.array(scores, pa.int64())], names=["query_id", "query_row", "vec_id", "score"])
 
 
+def _chunks(blocks: list[tuple]) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of blocks (dims, task, nth, bytes) of one length that are broadcast together, each with the
+    number of its first block."""
+    at = 0
+    while at < len(blocks):
+        end, size = at + 1, blocks[at][3]
+        while end < len(blocks) and blocks[end][0] == blocks[at][0] and size + blocks[end][3] <= CHUNK_BYTES:
+            size += blocks[end][3]
+            end += 1
+        yield at, blocks[at:end]
+        at = end
+
+
+def _search(spark: SparkSession, asked: DataFrame, chunk: list[tuple], first: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What finds, in a task's candidate blocks, the best k for each query of the chunk's blocks."""
+    dims = chunk[0][0]
+    wanted = F.struct("task", "nth").isin([F.struct(F.lit(t).cast("long"), F.lit(n).cast("long")) for _, t, n, _ in chunk])
+    rows = {(r.task, r.nth): (r.ids, r.kind, r.data) for r in asked.where(F.col("dims") == dims).where(wanted).collect()}
+    told = spark.sparkContext.broadcast([rows[t, n] for _, t, n, _ in chunk])
+
+    def unpacked(ids: bytes, kind: str, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        numbers = np.frombuffer(ids, np.int64)
+        return numbers, np.frombuffer(data, kind).reshape(dims, len(numbers)).astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = None
+        for batch in batches:
+            for own, ids, kind, data in zip(*(batch.column(c).to_pylist() for c in ("dims", "ids", "kind", "data")), strict=True):
+                if own != dims:
+                    continue
+                if searches is None:
+                    searches = [Search(*unpacked(*block), k) for block in told.value]
+                numbers, columns = unpacked(ids, kind, data)
+                for search in searches:
+                    search.feed(numbers, columns)
+        for n, search in enumerate(searches or []):
+            yield search.rows(first + n)
+
+    return run
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query row's k best candidates."""
     q = stored(taking_part(queries), "top-queries")
     # Round robin: equal blocks whatever the ids are.
     asked = stored(_packed(q.repartition(max(1, math.ceil(q.count() * 1.1 / QUERY_ROWS))), QUERY_ROWS, scale), "top-query-blocks")
     given = stored(_packed(taking_part(candidates), CANDIDATE_ROWS, scale), "top-blocks")
-    # Numbers of query blocks: a list as long as the queries are blocks of QUERY_ROWS.
-    blocks = [(r.dims, r.task, r.nth) for r in asked.select("dims", "task", "nth").orderBy("dims", "task", "nth").collect()]
-    numbers = {b: i for i, b in enumerate(blocks)}
-    slots = max(1, math.ceil(given.count() / BLOCKS_A_TASK))
-    if not blocks:
-        return q.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    spark = q.sparkSession
-    named = spark.createDataFrame([(*b, i) for b, i in numbers.items()], "of_dims long, of_task long, of_nth long, block long")
-    asked = asked.join(F.broadcast(named), (F.col("dims") == F.col("of_dims")) & (F.col("task") == F.col("of_task")) & (F.col("nth") == F.col("of_nth")))
-    slot = F.pmod(F.xxhash64("task", "nth"), F.lit(slots))
-    left = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))).select("block", "slot", F.lit(0).alias("side"), "dims", "ids", "kind", "data")
-    of_dims = named.groupBy("of_dims").agg(F.collect_list("block").alias("blocks"))
-    right = given.join(F.broadcast(of_dims), F.col("dims") == F.col("of_dims")).withColumn("block", F.explode("blocks")).select("block", slot.alias("slot"), F.lit(1).alias("side"), "dims", "ids", "kind", "data")
-    met = left.unionByName(right).repartition(max(1, min(len(blocks) * slots, 20_000)), "block", "slot").sortWithinPartitions("block", "slot", "side")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, at = None, None
-        for batch in batches:
-            for block, _, side, dims, ids, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                data = np.frombuffer(data, kind).reshape(dims, len(ids)).astype(float)
-                if side == 0:
-                    if search is not None:
-                        yield search.rows(at)
-                    search, at = Search(ids, data, k), block
-                else:
-                    search.feed(ids, data)
-        if search is not None:
-            yield search.rows(at)
-
-    found = met.mapInArrow(run, "query_id long, query_row long, vec_id long, score long")
+    # A row for every QUERY_ROWS queries, which says what is broadcast when.
+    named = asked.select("dims", "task", "nth", F.length("data").alias("bytes")).orderBy("dims", "task", "nth").collect()
+    spark, found = q.sparkSession, None
+    for first, chunk in _chunks([(r.dims, r.task, r.nth, r.bytes) for r in named]):
+        met = stored(given.mapInArrow(_search(spark, asked, chunk, first, k), "query_id long, query_row long, vec_id long, score long"), "top-found")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank: Column = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

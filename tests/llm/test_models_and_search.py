@@ -146,6 +146,7 @@ def test_components(spark):
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_ROWS", 50)
     monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 300)
     monkeypatch.setattr(topk, "STEP", 3)
     rng = np.random.default_rng(5)
     rows = [(k, [float(x) for x in rng.normal(size=8) * rng.choice([0.1, 1, 5])]) for k in range(300)]
