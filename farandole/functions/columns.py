@@ -136,3 +136,37 @@ def postal_range(codes: Column) -> Column:
     numeric = F.forall(codes, lambda c: c.rlike("^[0-9]+$"))
     low, high = F.array_min(codes), F.array_max(codes)
     return F.when(~numeric, F.array_join(F.sort_array(codes), ";")).when(low == high, low).otherwise(F.concat_ws("-", low, high))
+
+
+def to_timestamp_of(day0: Column, seconds: Column) -> Column:
+    """The time that a flat number of seconds since day0 stands for."""
+    return day0.cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def to_flat(day0: Column, at: Column) -> Column:
+    """Seconds from day0 to a time."""
+    return F.unix_seconds(at.cast("timestamp")) - F.unix_seconds(day0.cast("timestamp"))
+
+
+def same_place(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Whether two points are less than a tenth of a metre apart."""
+    return haversine(lon1, lat1, lon2, lat2) < 0.1
+
+
+def house_number(query: Column) -> Column:
+    """The number that a text search starts with, null without one."""
+    return F.when(query.rlike(r"^\s*[0-9]{1,9}\b"), F.regexp_extract(query, r"^\s*([0-9]{1,9})", 1).cast("int"))
+
+
+def without_house_number(query: Column) -> Column:
+    return F.trim(F.regexp_replace(query, r"^\s*[0-9]{1,9}\b", ""))
+
+
+def base_time(at: Column, shift_days: Column) -> Column:
+    """Flat time of an amended stop on the day of its base trip."""
+    return at - shift_days * DAY
+
+
+def earliest_time(stops: Column) -> Column:
+    """The earliest boarding or arrival of a trip's stops (boarding, arrival)."""
+    return F.array_min(F.transform(stops, lambda s: F.least(s["boarding"], s["arrival"])))

@@ -81,3 +81,11 @@ def version_precedence(days: DataFrame, trip: str = "trip_id") -> DataFrame:
     (0) keeps its own versions."""
     newest = F.row_number().over(Window.partitionBy(trip, "day", "level").orderBy(F.desc("version")))
     return days.withColumn("nth", newest).where("nth = 1 or level = 0").drop("nth")
+
+
+def pattern_offset(days: DataFrame, offsets: DataFrame, key: str) -> DataFrame:
+    """(key, offset): the UTC offset on most of a pattern's days (key, day), by periods of offset_periods; ties
+    go to the smaller one, and 0 where no period holds a day."""
+    held = days.join(offsets, (F.col("day") >= F.col("begin")) & (F.col("day") <= F.col("end"))).groupBy(key, "offset").agg(F.count(F.lit(1)).alias("n"))
+    best = held.groupBy(key).agg(F.max_by("offset", F.struct("n", -F.col("offset"))).alias("offset"))
+    return days.select(key).distinct().join(best, key, "left").select(key, F.coalesce("offset", F.lit(0)).alias("offset"))

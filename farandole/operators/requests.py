@@ -108,3 +108,16 @@ def large_components(labels: DataFrame, least: float = 0.01) -> DataFrame:
     size = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     most = size.agg(F.max("n").alias("most"))
     return size.join(F.broadcast(most)).where(F.col("n") >= F.col("most") * least).select("component", "n")
+
+
+def by_code(objects: DataFrame, codes: DataFrame, system: str, code: str) -> DataFrame:
+    """Objects (id) that have the code in the system (object_id, system, code)."""
+    found = codes.where((F.col("system") == system) & (F.col("code") == code)).select(F.col("object_id").alias("id")).distinct()
+    return objects.join(found, "id", "left_semi")
+
+
+def on_demand_stops(stops: DataFrame, odt_stops: DataFrame, lon: Column, lat: Column, metres: float) -> DataFrame:
+    """Stops of zonal trips on demand (stop_id) within reach of a point, nearest first."""
+    away = haversine(F.col("lon"), F.col("lat"), lon, lat)
+    told = stops.join(odt_stops.select(F.col("stop_id").alias("id")).distinct(), "id", "left_semi")
+    return told.withColumn("distance", away).where(F.col("distance") <= metres).orderBy("distance", "id")

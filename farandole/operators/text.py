@@ -66,3 +66,11 @@ def stop_area_scores(areas: DataFrame) -> DataFrame:
 def ranked_places(places: DataFrame, n: int) -> DataFrame:
     """The n best places: by type, score, quality, then name without case."""
     return places.orderBy("type_order", F.desc("score"), F.desc("quality"), F.lower("name"), "id").limit(n)
+
+
+def exact_search(index: DataFrame, tokens: list[str], scores: DataFrame, names: DataFrame) -> DataFrame:
+    """Objects that have every token as the start of a word, best first: id, quality (100), score, lcs and
+    position; by score, then the longest common substring with the query, then its place."""
+    hits = prefix_search(index, tokens).join(scores, "id")
+    common = longest_common(names, " ".join(tokens))
+    return hits.join(common, "id").select("id", F.lit(100).alias("quality"), "score", "lcs", "position").orderBy(F.desc("score"), F.desc("lcs"), "position", "id")

@@ -149,3 +149,18 @@ def empty_points(points: DataFrame, passages: DataFrame, key: list[str]) -> Data
 def overlaid(base: DataFrame, realtime: DataFrame, key: list[str]) -> DataFrame:
     """Passages of base, replaced by those of realtime wherever it has the key."""
     return base.join(realtime.select(*key).distinct(), key, "left_anti").unionByName(realtime)
+
+
+def without_empty_siblings(points: DataFrame) -> DataFrame:
+    """Points of a route's schedule (route_id, stop_id, has_times): an empty one goes if another of its route has
+    times; of a route without any times one stays."""
+    of = Window.partitionBy("route_id")
+    told = points.withColumn("any", F.max("has_times").over(of)).withColumn("nth", F.row_number().over(of.orderBy("stop_id")))
+    return told.where("has_times or (not any and nth = 1)").drop("any", "nth")
+
+
+def frequency_times(frequencies: DataFrame) -> DataFrame:
+    """(id, at): every departure from start to end by the headway; an end before the start is on the next
+    day, and times count within a day."""
+    end = F.when(F.col("end") < F.col("start"), F.col("end") + 86_400).otherwise(F.col("end"))
+    return frequencies.where("headway > 0").select("id", F.explode(F.sequence("start", end, "headway")).alias("at")).withColumn("at", F.col("at") % 86_400)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from farandole.functions import columns as C
 from farandole.further_queries import ORACLE_SQL, QUERIES
-from farandole.operators import disruptions, journeys, search, sets
+from farandole.operators import disruptions, journeys, requests, search, sets, timetable
 from farandole.plans.feed import Feed
-from farandole.queries import query
+from farandole.queries import _distance, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -109,3 +109,52 @@ def search_by_days(f: Feed) -> DataFrame:
     seeds = first.select(F.lit("x").alias("search"), "stop_id", F.lit(0).cast("long").alias("arrival"), F.lit(365 * C.DAY).cast("long").alias("bound"))
     walks = f.spark.createDataFrame([], "from_stop long, to_stop long, duration long")
     return search.labels(rides, seeds, walks, 6).select("stop_id", "round", "arrival")
+
+
+@query("SELECT id, unnest(generate_series(start, CASE WHEN (start + 40000) % 86400 < start THEN (start + 40000) % 86400 + 86400 ELSE (start + 40000) % 86400 END, 600 + id % 7 * 900)) % 86400 AS at FROM trip")
+def frequency_times(f: Feed) -> DataFrame:
+    rows = f.trip.select("id", "start", ((F.col("start") + 40_000) % C.DAY).alias("end"), (600 + F.col("id") % 7 * 900).alias("headway"))
+    return timetable.frequency_times(rows)
+
+
+_POINTS = "p AS (SELECT DISTINCT route_id, stop_id, stop_id % 3 = 0 AS has_times FROM stop_time JOIN trip ON trip.id = trip_id)"
+
+
+@query(f"WITH {_POINTS}, w AS (SELECT *, bool_or(has_times) OVER (PARTITION BY route_id) AS anyt, row_number() OVER (PARTITION BY route_id ORDER BY stop_id) AS nth FROM p) SELECT route_id, stop_id FROM w WHERE has_times OR (NOT anyt AND nth = 1)")
+def empty_siblings(f: Feed) -> DataFrame:
+    points = f.stop_time.join(f.trip.select(F.col("id").alias("trip_id"), "route_id"), "trip_id").select("route_id", "stop_id", (F.col("stop_id") % 3 == 0).alias("has_times")).distinct()
+    return timetable.without_empty_siblings(points).select("route_id", "stop_id")
+
+
+@query("SELECT id, name FROM stop_point WHERE code = 'ECONOMY' AND id % 2 = 0")
+def place_by_code(f: Feed) -> DataFrame:
+    codes = f.stop_point.select(F.col("id").alias("object_id"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("system"), "code")
+    return requests.by_code(f.stop_point, codes, "even", "ECONOMY").select("id", "name")
+
+
+@query(f"SELECT id FROM stop_point WHERE {_distance('lon', 'lat', '2.4', '48.4')} <= 15000 AND id IN (SELECT stop_id FROM stop_time WHERE mode = 'O')")
+def on_demand_stops(f: Feed) -> DataFrame:
+    return requests.on_demand_stops(f.stop_point, f.stop_time.where("mode = 'O'").select("stop_id"), F.lit(2.4), F.lit(48.4), 15_000).select("id")
+
+
+@query("""SELECT id, (day - DATE '1992-01-01') * 86400 + start AS flat, DATE '1992-01-01' + to_seconds((day - DATE '1992-01-01') * 86400 + start) AS at, start - id % 3 * 86400 AS base,
+    floor(start * sqrt(2.0e0) / 1.1e0)::BIGINT AS walk, id % 2 = 0 AS same FROM trip""")
+def time_columns(f: Feed) -> DataFrame:
+    day0 = F.lit("1992-01-01").cast("date")
+    flat = C.flat(F.datediff("day", day0), F.col("start"))
+    lon, lat = F.lit(2.0), F.lit(48.0)
+    near = C.same_place(lon, lat, lon + F.when(F.col("id") % 2 == 0, 1e-7).otherwise(1e-4), lat)
+    at = C.to_timestamp_of(day0, flat)
+    return f.trip.select("id", C.to_flat(day0, at).alias("flat"), at.alias("at"), C.base_time(F.col("start"), F.col("id") % 3).alias("base"), C.manhattan_duration(F.col("start"), 1.1).alias("walk"), near.alias("same"))
+
+
+@query("""WITH h AS (SELECT id, CASE WHEN id % 4 > 0 THEN (id % 500)::VARCHAR || ' ' ELSE '' END || name AS text, id % 4 > 0 AS has, id % 500 AS n, name FROM stop_point) SELECT id, CASE WHEN has THEN n END::INT AS number, name AS rest FROM h""")
+def house_numbers(f: Feed) -> DataFrame:
+    text_ = F.concat(F.when(F.col("id") % 4 > 0, F.concat((F.col("id") % 500).cast("string"), F.lit(" "))).otherwise(""), "name")
+    return f.stop_point.select("id", C.house_number(text_).alias("number"), C.without_house_number(text_).alias("rest"))
+
+
+@query("SELECT trip_id, min(least(arrival - stop_id % 700, departure)) AS earliest FROM stop_time GROUP BY 1")
+def earliest_times(f: Feed) -> DataFrame:
+    stops = F.collect_list(F.struct((F.col("arrival") - F.col("stop_id") % 700).alias("boarding"), F.col("departure").alias("arrival")))
+    return f.stop_time.groupBy("trip_id").agg(C.earliest_time(stops).alias("earliest"))

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from farandole.operators import disruptions, fares, journeys, sets
+from farandole.functions import columns
+from farandole.operators import disruptions, fares, journeys, periods, requests, sets, text
 
 
 def test_conditions():
@@ -79,3 +80,19 @@ def test_journey_sets(spark):
     told = spark.createDataFrame([(1, 100, 10), (2, 90, 5), (3, 90, 8)], "journey_id long, arrival long, departure long")
     assert [[r.journey_id for r in journeys.in_request_order(told, c).collect()] for c in (True, False)] == [[3, 2, 1], [1, 3, 2]]
     assert [r[0] for r in told.orderBy("journey_id").select(journeys.pseudo_duration(F.lit(20), F.col("departure"), F.col("arrival"), False)).collect()] == [10, 15, 12]
+
+
+def test_small_rules(spark):
+    days = spark.createDataFrame([("a", d) for d in ("2024-03-29", "2024-03-30", "2024-03-31")] + [("b", "2024-07-01"), ("c", "2030-01-01")], "key string, day string").select("key", F.to_date("day").alias("day"))
+    offsets = spark.createDataFrame([("2024-01-01", "2024-03-30", 60), ("2024-03-31", "2024-12-31", 120)], "b string, e string, offset int").select(F.to_date("b").alias("begin"), F.to_date("e").alias("end"), "offset")
+    assert {tuple(r) for r in periods.pattern_offset(days, offsets, "key").collect()} == {("a", 60), ("b", 120), ("c", 0)}
+    told = spark.createDataFrame([(1, "walking", 5.0, None), (2, "car", 2000.0, None), (3, "car", 1.0, 7.0)], "id long, mode string, length double, emission double")
+    assert [r.emission for r in requests.with_missing_emission(told, 184.0).orderBy("id").collect()] == [None, 368.0, 7.0]
+    boxes = spark.createDataFrame([("a", 0, True, 0, 0, 9, 9), ("b", 0, False, 0, 0, 9, 9), ("c", 5, True, 0, 0, 9, 9), ("d", 9, True, 5, 5, 9, 9)], "name string, priority int, free boolean, west int, south int, east int, north int")
+    assert [r.name for r in requests.coverage(boxes, F.lit(2), F.lit(3)).collect()] == ["c", "b", "a"]
+    names = spark.createDataFrame([(1, "Gare du Nord"), (2, "Nord Gare"), (3, "Garage Nord"), (4, "Rue")], "id long, name string")
+    scores = spark.createDataFrame([(1, 5), (2, 5), (3, 9), (4, 99)], "id long, score int")
+    got = text.exact_search(text.token_index(names), ["gar", "nord"], scores, names).collect()
+    assert [(r.id, r.quality) for r in got][0] == (3, 100) and {r.id for r in got} == {1, 2, 3} and [r.lcs for r in got[1:]] == sorted((r.lcs for r in got[1:]), reverse=True)
+    near = spark.range(1).select(columns.any_near_day(F.array(F.lit(3), F.lit(9)), F.lit(4)).alias("a"), columns.any_near_day(F.array(F.lit(3)), F.lit(5)).alias("b")).first()
+    assert tuple(near) == (True, False)
