@@ -379,7 +379,7 @@ def _measured(told: DataFrame, texts: DataFrame, words: int, similarity: float)
 
 
 def _meetings(measured: DataFrame) -> DataFrame:
-    """(token, id, size, bits, nth) of texts that share a token; of the tokens at which the same texts
+    """(token, id, size, bits, wide, nth) of texts that share a token; of the tokens at which the same texts
     meet, one is kept. Texts of a token are numbered in buckets of about RANKED, so no group is
     gathered."""
     tokens = lambda c: measured.select(F.explode(c).alias("token"), "id")
@@ -400,8 +400,8 @@ def _meetings(measured: DataFrame) -> DataFrame:
     many = rows.where("buckets > 1").groupBy(F.col("token").alias("in_token"), F.col("bucket").alias("in_bucket")).agg(F.count(F.lit(1)).alias("n"))
     many = many.select("in_token", "in_bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     rows = rows.join(small(many), (F.col("token") == F.col("in_token")) & (F.col("bucket") == F.col("in_bucket")), "left")
-    about = measured.select(F.col("id").alias("of_id"), "size", "bits").dropDuplicates(["of_id"])
-    return rows.join(about, F.col("id") == F.col("of_id")).select("token", "id", "size", "bits", (F.col("nth") + F.coalesce("ahead", F.lit(0))).alias("nth"))
+    about = measured.select(F.col("id").alias("of_id"), "size", "bits", "wide").dropDuplicates(["of_id"])
+    return rows.join(about, F.col("id") == F.col("of_id")).select("token", "id", "size", "bits", "wide", (F.col("nth") + F.coalesce("ahead", F.lit(0))).alias("nth"))
 
 
 def _fingerprint_pairs(measured: DataFrame) -> DataFrame:
@@ -415,18 +415,28 @@ def _fingerprint_pairs(measured: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))).distinct()
 
 
-def _possible(pairs: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose sizes and wide bitmaps allow the similarity."""
-    about = measured.select("id", "size", F.coalesce("wide", "bits").alias("bits")).dropDuplicates(["id"])
-    for c in ("a", "b"):
-        pairs = pairs.join(about.toDF(f"{c}_id", f"{c}_size", f"{c}_bits"), F.col(c) == F.col(f"{c}_id"))
-    # Sizes that are near enough have bitmaps of one length or of twice it, which folds to one.
+def _differing(a: Column, b: Column) -> Column:
+    """In how many bits two bitmaps differ, of which one may be twice as long: it folds to the other."""
     half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
-    a, b = F.col("a_bits"), F.col("b_bits")
-    a, b = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
-    differing = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
-    near = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
-    return pairs.where(near).where(differing <= (F.col("a_size") + F.col("b_size")) * ((1 - similarity) / (1 + similarity)) + 1e-9).select("a", "b")
+    one, two = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    return F.aggregate(F.zip_with(one, two, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+
+
+def _near(similarity: float) -> Column:
+    """Whether the sizes and bitmaps of two texts (size, bits, wide, and the same with a_) allow the similarity.
+    Sizes that are near enough have wide bitmaps of one length or of twice it; no wide one is the short one."""
+    most = (F.col("size") + F.col("a_size")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    sizes = F.least("a_size", "size") >= similarity * F.greatest("a_size", "size") - 1e-9
+    short = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("a_bits")[k])) for k in range(BITMAP)), F.lit(0))
+    large = F.col("wide").isNotNull() | F.col("a_wide").isNotNull()
+    return F.when(~sizes | (short > most), False).when(large, _differing(F.coalesce("wide", "bits"), F.coalesce("a_wide", "a_bits")) <= most).otherwise(True)
+
+
+def _possible(pairs: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose sizes and bitmaps allow the similarity."""
+    about = measured.select("id", "size", "bits", "wide").dropDuplicates(["id"])
+    both = pairs.join(about.toDF("a_id", "a_size", "a_bits", "a_wide"), F.col("a") == F.col("a_id")).join(about, F.col("b") == F.col("id"))
+    return both.where(_near(similarity)).select("a", "b")
 
 
 def _similar(told: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -468,7 +478,6 @@ def similar_groups(told: DataFrame, texts: DataFrame, words: int, similarity: fl
     met = stored(_meetings(measured), "near-meetings")
     found, asked, of = None, None, None
     done, most = 0, 1
-    differing = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("a_bits")[k])) for k in range(BITMAP)), F.lit(0))
     while True:
         # Only meetings of several components have pairs left.
         now = met.withColumn("component", F.col("id")) if of is None else met.join(of, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).select(*met.columns, "component")
@@ -478,17 +487,15 @@ def similar_groups(told: DataFrame, texts: DataFrame, words: int, similarity: fl
             if now.isEmpty():
                 return of
             met = now.select(*met.columns)
-        hubs = now.where((F.col("nth") > done) & (F.col("nth") <= most)).select(F.col("token").alias("a_token"), *[F.col(c).alias(f"a_{c}") for c in ("id", "size", "bits", "nth", "component")])
-        both = F.col("size") + F.col("a_size")
-        close = (F.least("a_size", "size") >= similarity * F.greatest("a_size", "size") - 1e-9) & (differing <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (F.col("a_component") != F.col("component"))
-        pairs = now.join(hubs, F.col("token") == F.col("a_token")).where((F.col("nth") > F.col("a_nth")) & close).select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b"))
-        pairs = (pairs.unionByName(_fingerprint_pairs(measured)) if asked is None else pairs).distinct()
-        pairs = pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti")
-        pairs = stored(_possible(pairs, measured, similarity), "near-pairs")
+        hubs = now.where((F.col("nth") > done) & (F.col("nth") <= most)).select(F.col("token").alias("a_token"), *[F.col(c).alias(f"a_{c}") for c in ("id", "size", "bits", "wide", "nth", "component")])
+        apart = (F.col("nth") > F.col("a_nth")) & (F.col("a_component") != F.col("component"))
+        pairs = now.join(hubs, (F.col("token") == F.col("a_token")) & apart & _near(similarity)).select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b"))
+        pairs = pairs.unionByName(_possible(_fingerprint_pairs(measured), measured, similarity)).distinct() if asked is None else pairs.distinct().join(asked, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "near-pairs")
         alike = stored(_similar(told, texts, pairs, words, similarity), "near-alike")
         asked = pairs if asked is None else asked.unionByName(pairs)
         found = alike if found is None else found.unionByName(alike)
-        of = components(found)
+        of = components(found) if of is None or not alike.isEmpty() else of
         done, most = most, most * HUBS
 
 
