@@ -174,3 +174,24 @@ def erasable_trips(trips: DataFrame, stop_times: DataFrame, days: DataFrame) ->
     valid = days.select(F.col("trip_id").alias("id"), F.lit(True).alias("valid")).distinct()
     told = trips.join(times, "id", "left").join(valid, "id", "left")
     return told.where("to_delete or least is null or least < 0 or valid is null").select("id")
+
+
+def stop_area_report(impacts: DataFrame, stops: DataFrame) -> DataFrame:
+    """(area, impact_id, on_area, stops): each impact of an area once, told of the area itself or of so many
+    of its stops. impacts: impact_id, area, stop_id (one of the last two is null); stops: stop_id, area."""
+    own = impacts.where("area is not null").select("area", "impact_id", F.lit(None).cast("long").alias("stop_id"))
+    below = impacts.where("area is null").select("impact_id", "stop_id").join(stops.select("stop_id", "area").distinct(), "stop_id").select("area", "impact_id", "stop_id")
+    return own.unionByName(below).groupBy("area", "impact_id").agg(F.bool_or(F.col("stop_id").isNull()).alias("on_area"), F.count_distinct("stop_id").alias("stops"))
+
+
+def trip_report(impacts: DataFrame, trips: DataFrame, now: Column) -> DataFrame:
+    """(network_id, trip_id, impacts, first_impact) of trips without service at an instant. impacts: impact_id,
+    trip_id, effect, begin, end (null: open); trips: trip_id, network_id. Other effects aren't told."""
+    valid = impacts.where((F.col("effect") == "NO_SERVICE") & (F.col("begin") <= now) & (F.col("end").isNull() | (F.col("end") > now)))
+    each = valid.groupBy("trip_id").agg(F.count_distinct("impact_id").alias("impacts"), F.min("impact_id").alias("first_impact"))
+    return trips.join(each, "trip_id").select("network_id", "trip_id", "impacts", "first_impact")
+
+
+def impacts_of_mode(impacts: DataFrame, stop_times: DataFrame, mode: str) -> DataFrame:
+    """Ids of the impacts (impact_id, trip_id) of trips that run in a mode, without a path over other entities."""
+    return impacts.join(stop_times.where(F.col("mode") == mode).select("trip_id").distinct(), "trip_id", "left_semi").select("impact_id").distinct()

@@ -121,3 +121,19 @@ def on_demand_stops(stops: DataFrame, odt_stops: DataFrame, lon: Column, lat: Co
     away = haversine(F.col("lon"), F.col("lat"), lon, lat)
     told = stops.join(odt_stops.select(F.col("stop_id").alias("id")).distinct(), "id", "left_semi")
     return told.withColumn("distance", away).where(F.col("distance") <= metres).orderBy("distance", "id")
+
+
+def task_spans(logs: DataFrame) -> DataFrame:
+    """(request_id, task, starts, lasts): microseconds from a request's first log line (request_id, task, ts) to
+    each of its tasks' first one, and from there to the task's last one."""
+    spans = logs.groupBy("request_id", "task").agg(F.min("ts").alias("begin"), F.max("ts").alias("end"))
+    first = F.min("begin").over(Window.partitionBy("request_id"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return spans.select("request_id", "task", (micros(F.col("begin")) - micros(first)).alias("starts"), (micros(F.col("end")) - micros(F.col("begin"))).alias("lasts"))
+
+
+def on_demand_by_admin(stops: DataFrame, served: DataFrame, routes: DataFrame) -> DataFrame:
+    """(admin, stop_id), each once, of the stops of zonal on-demand routes. stops: stop_id, admin; served:
+    route_id, stop_id; routes: route_id, zonal."""
+    zonal = served.join(routes.where("zonal").select("route_id").distinct(), "route_id", "left_semi").select("stop_id").distinct()
+    return stops.where("admin is not null").join(zonal, "stop_id", "left_semi").select("admin", "stop_id").distinct()

@@ -164,3 +164,11 @@ def frequency_times(frequencies: DataFrame) -> DataFrame:
     day, and times count within a day."""
     end = F.when(F.col("end") < F.col("start"), F.col("end") + 86_400).otherwise(F.col("end"))
     return frequencies.where("headway > 0").select("id", F.explode(F.sequence("start", end, "headway")).alias("at")).withColumn("at", F.col("at") % 86_400)
+
+
+def without_empty_points(points: DataFrame, by: str) -> DataFrame:
+    """Schedule points (point_id, has_times, and what they are grouped by) without those that have no times where
+    another of the group has some; of a group without any times, the smallest point stays."""
+    group = Window.partitionBy(by)
+    told = points.withColumns({"any": F.max(F.coalesce("has_times", F.lit(False))).over(group), "least": F.min("point_id").over(group)})
+    return told.where("has_times or (not any and point_id = least)").drop("any", "least")

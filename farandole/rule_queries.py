@@ -158,3 +158,47 @@ def house_numbers(f: Feed) -> DataFrame:
 def earliest_times(f: Feed) -> DataFrame:
     stops = F.collect_list(F.struct((F.col("arrival") - F.col("stop_id") % 700).alias("boarding"), F.col("departure").alias("arrival")))
     return f.stop_time.groupBy("trip_id").agg(C.earliest_time(stops).alias("earliest"))
+
+
+@query("""WITH i AS (SELECT id AS impact_id, CASE WHEN kind = 'error' THEN 'Brand#' || (entity_id % 5 + 1) || (entity_id % 4 + 1) END AS area, entity_id AS stop_id FROM event),
+    met AS (SELECT area, impact_id, NULL AS stop_id FROM i WHERE area IS NOT NULL UNION ALL SELECT p.area, impact_id, stop_id FROM i JOIN stop_point p ON p.id = stop_id WHERE i.area IS NULL)
+    SELECT area, impact_id, bool_or(stop_id IS NULL) AS on_area, count(DISTINCT stop_id) AS stops FROM met GROUP BY 1, 2""")
+def stop_area_report(f: Feed) -> DataFrame:
+    digit = lambda n: (F.col("entity_id") % n + 1).cast("string")
+    impacts = f.event.select(F.col("id").alias("impact_id"), F.when(F.col("kind") == "error", F.concat(F.lit("Brand#"), digit(5), digit(4))).alias("area"), F.col("entity_id").alias("stop_id"))
+    return disruptions.stop_area_report(impacts, f.stop_point.select(F.col("id").alias("stop_id"), "area"))
+
+
+@query("""WITH i AS (SELECT entity_id AS trip_id, count(DISTINCT id) AS impacts, min(id) AS first_impact FROM event WHERE kind = 'error' AND ts <= (SELECT max(ts) FROM event) AND (k % 3 = 0 OR k IS NULL OR ts + to_days(k) > (SELECT max(ts) FROM event)) GROUP BY 1)
+    SELECT network_id, trip_id, impacts, first_impact FROM i JOIN trip ON trip.id = trip_id JOIN route ON route.id = route_id JOIN line ON line.id = line_id""")
+def trip_report(f: Feed) -> DataFrame:
+    now = f.event.agg(F.max("ts")).first()[0]
+    ends = F.when(F.col("k") % 3 != 0, F.col("ts") + F.make_interval(days=F.col("k")))
+    impacts = f.event.select(F.col("id").alias("impact_id"), F.col("entity_id").alias("trip_id"), F.when(F.col("kind") == "error", "NO_SERVICE").otherwise("DETOUR").alias("effect"), F.col("ts").alias("begin"), ends.alias("end"))
+    routes = f.route.select(F.col("id").alias("route_id"), "line_id").join(f.line.select(F.col("id").alias("line_id"), "network_id"), "line_id")
+    return disruptions.trip_report(impacts, f.trip.select(F.col("id").alias("trip_id"), "route_id").join(routes, "route_id"), F.lit(now))
+
+
+@query("SELECT DISTINCT id AS impact_id FROM event WHERE entity_id IN (SELECT trip_id FROM stop_time WHERE mode = 'O')")
+def impacts_of_mode(f: Feed) -> DataFrame:
+    return disruptions.impacts_of_mode(f.event.select(F.col("id").alias("impact_id"), F.col("entity_id").alias("trip_id")), f.stop_time, "O")
+
+
+@query("""WITH p AS (SELECT id AS point_id, line_id, id IN (SELECT route_id FROM trip WHERE line_id % 2 = 0) AS has_times FROM route), g AS (SELECT *, max(has_times::INT) OVER (PARTITION BY line_id) AS n, min(point_id) OVER (PARTITION BY line_id) AS least FROM p)
+    SELECT line_id, point_id, has_times FROM g WHERE has_times OR (n = 0 AND point_id = least)""")
+def terminus_points(f: Feed) -> DataFrame:
+    told = f.trip.select(F.col("route_id").alias("point_id"), F.lit(True).alias("told")).distinct()
+    points = f.route.select(F.col("id").alias("point_id"), "line_id").join(told, "point_id", "left")
+    return timetable.without_empty_points(points.select("line_id", "point_id", (F.col("told").isNotNull() & (F.col("line_id") % 2 == 0)).alias("has_times")), "line_id")
+
+
+@query("""WITH s AS (SELECT entity_id AS request_id, kind AS task, min(ts) AS b, max(ts) AS e FROM event GROUP BY 1, 2)
+    SELECT request_id, task, epoch_us(b) - min(epoch_us(b)) OVER (PARTITION BY request_id) AS starts, epoch_us(e) - epoch_us(b) AS lasts FROM s""")
+def task_spans(f: Feed) -> DataFrame:
+    return requests.task_spans(f.event.select(F.col("entity_id").alias("request_id"), F.col("kind").alias("task"), "ts"))
+
+
+@query("SELECT DISTINCT p.area AS admin, p.id AS stop_id FROM stop_point p JOIN stop_time ON stop_id = p.id JOIN trip ON trip.id = trip_id WHERE route_id % 3 = 0")
+def on_demand_by_admin(f: Feed) -> DataFrame:
+    served = f.stop_time.select("trip_id", "stop_id").join(f.trip.select(F.col("id").alias("trip_id"), "route_id"), "trip_id")
+    return requests.on_demand_by_admin(f.stop_point.select(F.col("id").alias("stop_id"), F.col("area").alias("admin")), served, f.route.select(F.col("id").alias("route_id"), (F.col("id") % 3 == 0).alias("zonal")))
