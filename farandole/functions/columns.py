@@ -51,7 +51,9 @@ def status_at(now: Column, begin: Column, end: Column) -> Column:
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Metres between two points."""
-    a = F.pow(F.sin((lat2 - lat1) * RADIAN / 2), 2) + F.cos(lat1 * RADIAN) * F.cos(lat2 * RADIAN) * F.pow(F.sin((lon2 - lon1) * RADIAN / 2), 2)
+    turn = F.abs(lon2 - lon1)
+    turn = F.when(turn > 180, 360 - turn).otherwise(turn)  # a whole turn is no distance, however sin(pi) is rounded
+    a = F.pow(F.sin((lat2 - lat1) * RADIAN / 2), 2) + F.cos(lat1 * RADIAN) * F.cos(lat2 * RADIAN) * F.pow(F.sin(turn * RADIAN / 2), 2)
     return F.asin(F.least(F.lit(1.0), F.sqrt(a))) * 2 * EARTH_RADIUS
 
 

@@ -1,4 +1,5 @@
-"""Spatial joins and grids. Radius joins meet in grid cells, never in all pairs."""
+"""Spatial joins and grids. Radius joins meet in grid cells, never in all pairs, and what stands at
+one place meets once."""
 
 from __future__ import annotations
 
@@ -14,15 +15,18 @@ from farandole.scratch import stored
 DEGREE = 111_000.0
 #: Smaller rings that a nearest search tries first.
 RINGS = 3
+#: Ids of one place that travel together, about.
+TOGETHER = 1024
 
 
-def radius_join(queries: DataFrame, points: DataFrame, metres: float) -> DataFrame:
-    """(query_id, id, distance) of points (id, lon, lat) within so many metres of queries
-    (query_id, lon, lat), anywhere on earth.
+def near_places(asked: DataFrame, held: DataFrame, metres: float) -> DataFrame:
+    """Rows of asked (q_lon, q_lat, ...) with those of held (lon, lat, ...) within so many metres, and their
+    distance, anywhere on earth.
 
     Rows of cells are as high as the radius; each row is cut into as many columns as keep a column
     at least as wide as the radius there, around the whole circle of latitude. A query stands in the
-    3 x 3 cells around it and meets the points of each.
+    3 x 3 cells around it and meets the points of each. Sizes of exploded rows are estimated far too
+    low, so the sides are merged and neither is broadcast.
     """
     height = metres / DEGREE
     half = math.sin(min(math.pi / 2, metres / (2 * EARTH_RADIUS)))
@@ -34,32 +38,54 @@ def radius_join(queries: DataFrame, points: DataFrame, metres: float) -> DataFra
         return F.when((top >= 89.999) | (reach >= 1), 1).otherwise(F.greatest(F.lit(1), F.floor(360 / (2 * F.asin(F.least(reach, F.lit(1.0))) / RADIAN) / 1.0001))).cast("long")
 
     at = lambda lon, n: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n), n - 1).cast("long")
-    row = F.floor(F.col("lat") / height).cast("long")
-    asked = queries.select("query_id", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), F.explode(F.sequence(row - 1, row + 1)).alias("y")).withColumn("n", columns(F.col("y")))
+    row = lambda lat: F.floor(F.col(lat) / height).cast("long")
     around = F.array(*[F.pmod(at(F.col("q_lon"), F.col("n")) + k, F.col("n")) for k in (-1, 0, 1)])
-    asked = asked.select("query_id", "q_lon", "q_lat", "y", F.explode(F.array_distinct(around)).alias("x"))
-    held = points.select("id", "lon", "lat", row.alias("y")).withColumn("x", at(F.col("lon"), columns(F.col("y"))))
-    met = asked.join(held, ["x", "y"]).withColumn("distance", haversine(F.col("q_lon"), F.col("q_lat"), F.col("lon"), F.col("lat")))
-    return met.where(F.col("distance") <= metres).select("query_id", "id", "distance")
+    stands = asked.withColumn("y", F.explode(F.sequence(row("q_lat") - 1, row("q_lat") + 1))).withColumn("n", columns(F.col("y"))).withColumn("x", F.explode(F.array_distinct(around))).drop("n")
+    cells = held.withColumn("y", row("lat")).withColumn("x", at(F.col("lon"), columns(F.col("y"))))
+    met = stands.join(cells.hint("merge"), ["x", "y"]).withColumn("distance", haversine(F.col("q_lon"), F.col("q_lat"), F.col("lon"), F.col("lat")))
+    return met.where(F.col("distance") <= metres).drop("x", "y")
+
+
+def _by_place(rows: DataFrame, key: str) -> DataFrame:
+    """(lon, lat, ids): the keys of each place, in lists of about TOGETHER."""
+    many = rows.groupBy("lon", "lat").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("lists")).where("lists > 1").toDF("of_lon", "of_lat", "lists")
+    dealt = rows.join(many, (F.col("lon") == F.col("of_lon")) & (F.col("lat") == F.col("of_lat")), "left")
+    return dealt.groupBy("lon", "lat", F.pmod(F.xxhash64(key), F.coalesce("lists", F.lit(1))).alias("list")).agg(F.collect_list(key).alias("ids")).drop("list")
+
+
+def radius_join(queries: DataFrame, points: DataFrame, metres: float) -> DataFrame:
+    """(query_id, id, distance) of points (id, lon, lat) within so many metres of queries
+    (query_id, lon, lat), anywhere on earth. Places meet, with lists of what stands there; pairs are
+    written out where they are found and not shuffled."""
+    asked = _by_place(queries.select("query_id", "lon", "lat"), "query_id").toDF("q_lon", "q_lat", "query_ids")
+    met = near_places(asked, _by_place(points.select("id", "lon", "lat"), "id"), metres).select("query_ids", "ids", "distance")
+    return met.select(F.explode("query_ids").alias("query_id"), "ids", "distance").select("query_id", F.explode("ids").alias("id"), "distance")
 
 
 def nearest(queries: DataFrame, points: DataFrame, metres: float, k: int) -> DataFrame:
     """The k nearest points of each query within the radius; ties go to the smaller id.
 
-    Rings grow: queries that find k points within a small radius are done, the others go on with
+    Queries of one place have one answer, and of the points of one place the k smallest ids suffice.
+    Rings grow: places that find k points within a small radius are done, the others go on with
     four times the radius, so that dense places never meet all points of a large one.
     """
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    done, left = None, queries.select("query_id", "lon", "lat")
+    first = F.row_number().over(Window.partitionBy("lon", "lat").orderBy("id"))
+    heads = stored(points.select("id", "lon", "lat").withColumn("nth", first).where(F.col("nth") <= k).drop("nth"), "ring-points")
+    left = stored(queries.select(F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat")).distinct(), "ring-left")
+    place, of = ["q_lon", "q_lat"], ["of_lon", "of_lat"]
+    order = Window.partitionBy(*place).orderBy("distance", "id")
+    done = None
     for step in range(RINGS, -1, -1):
-        best = radius_join(left, points, metres / 4**step).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+        best = near_places(left, heads, metres / 4**step).select(*place, "id", "distance").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
         if step:
             best = stored(best, "ring")
-            full = best.where(F.col("nth") == k).select("query_id")
-            left = stored(left.join(full, "query_id", "left_anti"), "ring-left")
-            best = best.join(full, "query_id", "left_semi")
+            full = best.where(F.col("nth") == k).select(*place).hint("merge")
+            left = stored(left.join(full, place, "left_anti"), "ring-left")
+            best = best.join(full, place, "left_semi")
         done = best if done is None else done.unionByName(best)
-    return done
+    told = queries.select("query_id", "lon", "lat").join(done.drop("nth").hint("merge"), (F.col("lon") == F.col("q_lon")) & (F.col("lat") == F.col("q_lat")))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return told.select("query_id", "id", "distance").withColumn("nth", nth).where(F.col("nth") <= k)
 
 
 def heat_grid(points: DataFrame, box: tuple[float, float, float, float], n: int) -> DataFrame:
@@ -70,14 +96,16 @@ def heat_grid(points: DataFrame, box: tuple[float, float, float, float], n: int)
 
 def uncovered_circles(circles: DataFrame) -> DataFrame:
     """Circles (id, lon, lat, radius) that no larger circle contains. Circles meet those of each
-    power of two of the radius in cells of that size."""
+    power of two of the radius in cells of that size; of a place only the largest circle of a power can
+    contain others, and equal circles of one place are one."""
     power = F.ceil(F.log2(F.greatest(F.col("radius"), F.lit(1.0)))).cast("int")
-    sized = circles.select("id", "lon", "lat", F.col("radius").alias("outer"), power.alias("power"))
-    own = circles.select(F.col("id").alias("query_id"), "lon", "lat", "radius")
+    sized = stored(circles.select("lon", "lat", "radius", power.alias("power")).groupBy("lon", "lat", "power").agg(F.max("radius").alias("outer")), "circles")
+    own = stored(circles.select(F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), "radius").distinct(), "circles-own")
     inner = None
-    for p in sorted(r.power for r in sized.select("power").distinct().collect()):  # at most 25 on earth
-        held = sized.where(F.col("power") == p)
-        met = radius_join(own.where(F.col("radius") <= 2.0**p), held, 2.0**p).where("query_id <> id")
-        hit = met.join(own.select("query_id", "radius"), "query_id").join(held.select("id", "outer"), "id").where(F.col("distance") + F.col("radius") < F.col("outer")).select(F.col("query_id").alias("id"))
+    for p in sorted(r.power for r in sized.where("power is not null").select("power").distinct().collect()):  # at most 25 on earth
+        held = sized.where(F.col("power") == p).select("lon", "lat", "outer")
+        met = near_places(own.where(F.col("radius") <= 2.0**p), held, 2.0**p)
+        hit = met.where(F.col("distance") + F.col("radius") < F.col("outer")).select("q_lon", "q_lat", F.col("radius").alias("q_radius"))
         inner = hit if inner is None else inner.unionByName(hit)
-    return circles if inner is None else circles.join(inner.distinct(), "id", "left_anti")
+    same = (F.col("lon") == F.col("q_lon")) & (F.col("lat") == F.col("q_lat")) & (F.col("radius") == F.col("q_radius"))
+    return circles if inner is None else circles.join(inner.distinct().hint("merge"), same, "left_anti")
