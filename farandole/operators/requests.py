@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farandole.functions.columns import haversine
-from farandole.operators.geo import radius_join
+from farandole.operators.geo import near_places
 
 
 def first_found(sources: list[DataFrame], key: str) -> DataFrame:
@@ -56,15 +56,15 @@ def realtime_window(passages: DataFrame, by: str, begin: Column, duration: int,
 
 
 def outside_zones(objects: DataFrame, zones: DataFrame, radius_column: str = "radius") -> DataFrame:
-    """Objects (id, lon, lat) in no active zone (zone_lon, zone_lat, radius). Objects meet zones in
-    cells of the largest zone's size."""
-    told = zones.select(F.col("zone_lon").alias("lon"), F.col("zone_lat").alias("lat"), F.col(radius_column).alias("zone_radius")).where("zone_radius >= 0").withColumn("id", F.monotonically_increasing_id())
+    """Objects (id, lon, lat) in no active zone (zone_lon, zone_lat, radius). Distinct places meet zones
+    in cells of the largest zone's size."""
+    told = zones.select(F.col("zone_lon").alias("lon"), F.col("zone_lat").alias("lat"), F.col(radius_column).alias("zone_radius")).where("zone_radius >= 0")
     largest = told.agg(F.max("zone_radius")).first()[0]
     if largest is None:
         return objects
-    met = radius_join(objects.select(F.col("id").alias("query_id"), "lon", "lat"), told, float(max(largest, 1.0)))
-    hit = met.join(told.select("id", "zone_radius"), "id").where("distance <= zone_radius").select(F.col("query_id").alias("id")).distinct()
-    return objects.join(hit, "id", "left_anti")
+    places = objects.select(F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat")).distinct()
+    hit = near_places(places, told, float(max(largest, 1.0))).where("distance <= zone_radius").select("q_lon", "q_lat").distinct()
+    return objects.join(hit.hint("merge"), (F.col("lon") == F.col("q_lon")) & (F.col("lat") == F.col("q_lat")), "left_anti")
 
 
 def coverage(instances: DataFrame, lon: Column, lat: Column) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from farandole.operators import geo
+from farandole.operators import geo, requests
 
 from plan_rows import broadcasts, most_rows
 
@@ -26,3 +26,12 @@ def test_nearest_of_one_place_meet_once(spark, crowd, monkeypatch):
         assert len(got) == 3000 * k + 3
         assert all(got[q, n + 1] == (q % 10 + 10 * n, 0.0) for q in range(3000) for n in range(k))
         assert all(got[9000 + j, 1] == (9000 + j, 0.0) for j in range(3))
+
+
+def test_zones_meet_places(spark, crowd):
+    zones = spark.createDataFrame([(0.0, 0.0, 5_000)], "zone_lon double, zone_lat double, radius int")
+    objects = crowd.unionByName(spark.createDataFrame([(9999, None, 0.0)], "id long, lon double, lat double"))
+    out = requests.outside_zones(objects, zones)
+    assert broadcasts(out) == []
+    assert most_rows(out) <= 2 * objects.count()
+    assert {r.id for r in out.collect()} == {9000, 9001, 9002, 9999}
