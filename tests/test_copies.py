@@ -28,6 +28,13 @@ def test_nearest_of_one_place_meet_once(spark, crowd, monkeypatch):
         assert all(got[9000 + j, 1] == (9000 + j, 0.0) for j in range(3))
 
 
+def test_repeated_queries_share_one_ranking(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.001, 0.0), (3, 0.002, 0.0)], "id long, lon double, lat double")
+    queries = spark.createDataFrame([(7, 0.0, 0.0), (7, 0.002, 0.0), (8, None, 0.0), (9, 0.001, 0.0)], "query_id long, lon double, lat double")
+    got = sorted((r.query_id, r.nth, r.id) for r in geo.nearest(queries, points, 1000.0, 2).collect())
+    assert got == [(7, 1, 1), (7, 2, 3), (9, 1, 2), (9, 2, 1)] or got == [(7, 1, 1), (7, 2, 3), (9, 1, 2), (9, 2, 3)]
+
+
 def test_zones_meet_places(spark, crowd):
     zones = spark.createDataFrame([(0.0, 0.0, 5_000)], "zone_lon double, zone_lat double, radius int")
     objects = crowd.unionByName(spark.createDataFrame([(9999, None, 0.0)], "id long, lon double, lat double"))
