@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from farandole.operators import geo, requests
 
-from plan_rows import broadcasts, most_rows
+from plan_rows import broadcasts, most_rows, nodes
 
 
 @pytest.fixture
@@ -42,3 +42,20 @@ def test_zones_meet_places(spark, crowd):
     assert broadcasts(out) == []
     assert most_rows(out) <= 2 * objects.count()
     assert {r.id for r in out.collect()} == {9000, 9001, 9002, 9999}
+
+
+def test_pairs_of_places_are_found_once(spark, crowd, monkeypatch):
+    monkeypatch.setattr(geo, "TOGETHER", 64)
+    asked = crowd.where("id < 300 or id >= 9000").withColumnRenamed("id", "query_id")
+    found = geo.radius_join(asked, crowd, 5_000.0)
+    assert not any(name.endswith("Join") and rows > 20_000 for name, rows in nodes(found) if rows)
+    got = [(r.query_id, r.id) for r in found.collect()]
+    assert len(got) == len(set(got)) == 300 * 3000 + 3
+
+
+def test_circles_of_one_place_meet_once(spark, crowd, monkeypatch):
+    monkeypatch.setattr(geo, "stored", lambda df, name: df)
+    circles = crowd.withColumn("radius", F.when(F.col("id") < 2999, 400.0 + F.col("id") % 2).otherwise(900.0))
+    kept = geo.uncovered_circles(circles)
+    assert most_rows(kept) <= 2 * circles.count()
+    assert {r.id for r in kept.collect()} == {2999, 9000, 9001, 9002}
