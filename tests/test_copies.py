@@ -1,9 +1,10 @@
 """Tables of many copies: what operators move grows with the rows, not with their pairs, and nothing large is broadcast."""
 
+
 import pytest
 from pyspark.sql import functions as F
 
-from farandole.operators import geo, requests
+from farandole.operators import geo, requests, rules
 
 from plan_rows import broadcasts, most_rows, nodes
 
@@ -59,3 +60,29 @@ def test_circles_of_one_place_meet_once(spark, crowd, monkeypatch):
     kept = geo.uncovered_circles(circles)
     assert most_rows(kept) <= 2 * circles.count()
     assert {r.id for r in kept.collect()} == {2999, 9000, 9001, 9002}
+
+
+def test_impacts_on_one_object_are_not_compared(spark):
+    trips = spark.range(1000).select(F.col("id").alias("trip_id"), F.lit(1).cast("long").alias("network_id"), (F.col("id") % 10).alias("line_id"), (F.col("id") % 100).alias("route_id"))
+    told = [(1000, "network", 1), (1000, "line", 3), (1000, "trip", 7), (1000, "trip", 7), (1001, "route", 5), (None, "trip", 8), (1002, "line", None)]
+    impacts = spark.range(400).select(F.col("id").alias("impact_id"), F.lit("network").alias("kind"), F.lit(1).cast("long").alias("uri")).unionByName(spark.createDataFrame(told, "impact_id long, kind string, uri long"))
+    found = rules.informed_trips(impacts, trips.unionByName(trips.where("trip_id < 5")))
+    assert max(rows or 0 for name, rows in nodes(found) if "Aggregate" in name) <= 20_000
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, t) for i in (*range(400), 1000) for t in range(1000)} | {(1001, t) for t in range(5, 1000, 100)} | {(None, 8)}
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.1, 0.4, 0.9, 1.0, 1.7])
+def test_calendars_against_all_pairs(spark, threshold):
+    rng = random.Random(5)
+    one = lambda: {rng.randrange(40) + 200 * rng.randrange(2) for _ in range(rng.choice((1, 2, 5, 12, 30)))}
+    sets = {k: one() for k in range(60)}
+    for k in range(60, 120):  # near copies
+        sets[k] = set(sets[k - 60]) ^ {rng.randrange(40) for _ in range(rng.randrange(3))} or {1}
+    row = lambda k, d: (k % 3, k, datetime.date(2024, 1, 1) + datetime.timedelta(d))
+    rows = spark.createDataFrame([row(k, d) for k, s in sets.items() for d in s], "group long, object long, day date")
+    calendars = rows.where("object % 2 = 0").withColumnRenamed("object", "calendar")
+    got = sorted(tuple(r) for r in periods.similar_calendars(rows.unionByName(rows.limit(5)), calendars, "group", threshold).collect())
+    most = {c: math.floor(threshold * len(s) + 0.5) for c, s in sets.items()}
+    assert got == sorted((o, c, len(sets[o] ^ sets[c])) for o in sets for c in sets if c % 2 == 0 and o % 3 == c % 3 and len(sets[o] ^ sets[c]) <= most[c])
