@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: 64-bit numbers of a day set's parities.
+PARITIES = 4
+
 
 def days_of(periods: DataFrame, key: str, week: Column | None = None) -> DataFrame:
     """(key, day) of each inclusive period (begin, end), on the weekdays of the mask (bit 0 is Monday)."""
@@ -34,21 +37,50 @@ def interned(days: DataFrame, key: str) -> DataFrame:
 def similar_calendars(objects: DataFrame, calendars: DataFrame, group: str, threshold: float) -> DataFrame:
     """(object, calendar, differing) of one group whose whole day sets, rows (group, object, day) and
     (group, calendar, day), differ on at most round(threshold * days of the calendar). A calendar
-    without days has no rows and matches nothing; an object without days is not matched either."""
-    left, right = _day_blocks(objects, group, "object"), _day_blocks(calendars, group, "calendar").withColumnRenamed("mask", "other")
-    shared = left.join(right, [group, "block"]).groupBy(group, "object", "calendar").agg(F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("other")))).alias("both"))
-    n, m = (x.groupBy(group, c).agg(F.sum(F.bit_count(k)).alias(c[0])) for x, c, k in ((left, "object", "mask"), (right, "calendar", "other")))
-    # No more than the difference of the counts can be saved: far apart pairs go before days are met.
-    pairs = n.join(m, group).where(F.abs(F.col("o") - F.col("c")) <= F.round(F.col("c") * threshold)).join(shared, [group, "object", "calendar"], "left")
-    differing = (F.col("o") + F.col("c") - 2 * F.coalesce("both", F.lit(0))).cast("int")
-    return pairs.where(differing <= F.round(F.col("c") * threshold)).select("object", "calendar", differing.alias("differing"))
-
-
-def _day_blocks(days: DataFrame, group: str, key: str) -> DataFrame:
-    """(group, key, block, mask): bit d is set if the key is valid on day d of the block of 63 days."""
+    without days has no rows and matches nothing; an object without days is not matched either.
+
+    Prefix filtering, which is complete: a matching pair shares a day among the first few of each one's
+    days in one order, here the days of the fewest calendars first. Where such days meet, parities of
+    the whole sets rule pairs out, and only what they leave is shuffled and compared. Above a
+    threshold of 1 sets without a common day can match, so all pairs of a group meet.
+    """
+    offset = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    often = calendars.select(group, "calendar", offset.alias("d")).distinct().groupBy(group, "d").agg(F.count(F.lit(1)).alias("often"))
+    left, right = (_day_sets(rows, often, group, key) for rows, key in ((objects, "object"), (calendars, "calendar")))
+    n, m = F.col("o_days"), F.col("c_days")
+    most = F.round(m * threshold)
+    # Both sets have at least so many days in common, whatever the other one's size.
+    least = F.greatest(F.lit(1), F.ceil(((n + (1 - threshold) * (n - 0.5) / (1 + threshold) - 0.5) / 2) - 1e-9)).cast("int")
+    left, right = _named(left, "o"), _named(right, "c")
+    if threshold <= 1:
+        keys = [group, "token"]
+        left_met = left.withColumn("token", F.explode(F.slice("o_order", F.lit(1), n - least + 1))).drop("o_order")
+        right_met = right.withColumn("token", F.explode(F.slice("c_order", F.lit(1), F.least(m, most.cast("int") + 1)))).drop("c_order")
+    else:
+        keys, left_met, right_met = [group], left.drop("o_order"), right.drop("c_order")
+    parity = sum((F.bit_count(F.col(f"o_{k}").bitwiseXOR(F.col(f"c_{k}"))) for k in range(PARITIES)), F.lit(0))
+    near = (F.abs(n - m) <= most) & (parity <= most)
+    met = left_met.join(right_met.hint("merge"), keys).where(near).select(group, "object", "calendar").distinct()
+    both = met.join(left.select(group, "object", "o_days", "o_order").hint("merge"), [group, "object"]).join(right.select(group, "calendar", "c_days", "c_order").hint("merge"), [group, "calendar"])
+    differing = (n + m - 2 * F.size(F.array_intersect("o_order", "c_order"))).cast("int")
+    return both.where(differing <= most).select("object", "calendar", differing.alias("differing"))
+
+
+def _day_sets(days: DataFrame, often: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key, days, order, 0, 1, ...): how many days the key has, these in order of how often they are, and the
+    parities of how many of them fall on each of 64 * PARITIES bits: two sets' parities differ in no more
+    bits than the sets differ in days."""
     offset = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(offset, F.lit(63)))
-    return days.groupBy(group, key, F.floor(offset / 63).alias("block")).agg(F.bit_or(bit).alias("mask"))
+    told = days.select(group, key, offset.alias("d")).distinct().join(often.hint("merge"), [group, "d"], "left")
+    at = F.pmod(F.col("d"), F.lit(64 * PARITIES))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at % 64)
+    parities = [F.bit_xor(F.when(F.floor(at / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(str(k)) for k in range(PARITIES)]
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "d")))
+    return told.groupBy(group, key).agg(F.count(F.lit(1)).cast("int").alias("days"), F.transform(order, lambda x: x["d"]).alias("order"), *parities)
+
+
+def _named(sets: DataFrame, prefix: str) -> DataFrame:
+    return sets.withColumnsRenamed({c: f"{prefix}_{c}" for c in ("days", "order", *map(str, range(PARITIES)))})
 
 
 def offset_periods(days: DataFrame, zone: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Tables of many copies: what operators move grows with the rows, not with their pairs, and nothing large is broadcast."""
 
+import datetime
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from farandole.operators import geo, requests, rules
+from farandole.operators import geo, periods, requests, rules
 
 from plan_rows import broadcasts, most_rows, nodes
 
@@ -86,3 +89,12 @@ def test_calendars_against_all_pairs(spark, threshold):
     got = sorted(tuple(r) for r in periods.similar_calendars(rows.unionByName(rows.limit(5)), calendars, "group", threshold).collect())
     most = {c: math.floor(threshold * len(s) + 0.5) for c, s in sets.items()}
     assert got == sorted((o, c, len(sets[o] ^ sets[c])) for o in sets for c in sets if c % 2 == 0 and o % 3 == c % 3 and len(sets[o] ^ sets[c]) <= most[c])
+
+
+def test_calendars_of_other_days_do_not_meet(spark):
+    rows = spark.range(1000).select(F.lit(1).alias("group"), F.col("id").alias("object"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), F.when(F.col("k") < 3, F.col("k")).otherwise(F.pmod(F.hash(c, "k"), F.lit(4000))).cast("int")).alias("day")
+    rows = rows.select("group", "object", day("object"))
+    found = periods.similar_calendars(rows, rows.withColumnRenamed("object", "calendar"), "group", 0.2)
+    assert most_rows(found) < 200_000
+    assert {(r.object, r.calendar) for r in found.collect()} == {(k, k) for k in range(1000)}
