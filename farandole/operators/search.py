@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farandole.functions.columns import DAY
-from farandole.scratch import stored
+from farandole.scratch import bucketed, stored
 
 _LEG = ("arrival", "via_stop", "run", "board_stop", "board_at", "alight_at", "rides")
 
@@ -41,17 +41,24 @@ def labels(rides: DataFrame, seeds: DataFrame, walks: DataFrame, rounds: int = 1
     last round improved and not before its arrival, and left at a later stop where drop-off is allowed and
     whose local zone isn't the one boarded in. stay_in (run, next_run) goes on, in the same round, on the
     next trip of a block. walks (from_stop, to_stop, duration) follow rides. Nothing is later than the bound.
+
+    Boardings by stop and alightings by run are written once in buckets, the latter without what lies after
+    all bounds; rounds only shuffle what the last one improved.
     """
+    seeds = stored(seeds, "seeds")
     bounds = seeds.select("search", "bound").groupBy("search").agg(F.max("bound").alias("bound"))
     first = seeds.where("arrival <= bound").groupBy("search", "stop_id").agg(F.min("arrival").alias("arrival"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("via_stop", rides.schema["stop_id"].dataType), ("run", "string"), ("board_stop", rides.schema["stop_id"].dataType), ("board_at", "long"), ("alight_at", "long"))]
     frontier = stored(first.select("search", "stop_id", F.lit(0).alias("round"), "arrival", *none, F.lit(0).alias("rides")), "labels")
     out = frontier
+    rides = stored(rides, "rides")
+    latest = seeds.agg(F.max("bound")).first()[0]
     board = rides.where("pick_up").select("run", "stop_id", F.col("rank").alias("from_rank"), "departure", F.col("zone").alias("from_zone"))
-    alight = rides.where("drop_off").select("run", F.col("stop_id").alias("to_stop"), F.col("rank").alias("to_rank"), F.col("arrival").alias("to_at"), F.col("zone").alias("to_zone"))
+    alight = rides.where("drop_off").where(F.col("arrival") <= F.lit(latest)).select("run", F.col("stop_id").alias("to_stop"), F.col("rank").alias("to_rank"), F.col("arrival").alias("to_at"), F.col("zone").alias("to_zone"))
+    board, alight = bucketed(board, "stop_id", "board"), bucketed(alight, "run", "alight")
     for k in range(1, rounds + 1):
         best = out.groupBy("search", "stop_id").agg(F.min("arrival").alias("before"))
-        caught = board.join(frontier.select("search", "stop_id", "arrival"), "stop_id").where("departure >= arrival")
+        caught = board.join(frontier.select("search", "stop_id", "arrival").hint("shuffle_hash"), "stop_id").where("departure >= arrival")
         # Of the stops of a zone where a run can be boarded the first one reaches all that the others do.
         rider = F.min(F.struct("from_rank", F.col("stop_id").alias("board_stop"), F.col("departure").alias("board_at"))).alias("b")
         on = caught.groupBy("search", "run", "from_zone").agg(rider).select("search", "run", "from_zone", "b.*", F.col("run").alias("boarded"), F.lit(1).alias("rides"))
@@ -62,7 +69,7 @@ def labels(rides: DataFrame, seeds: DataFrame, walks: DataFrame, rounds: int = 1
             if chain.isEmpty():
                 break
             ahead = ahead.unionByName(chain)
-        got = alight.join(ahead, "run").where("to_rank > from_rank").where(F.col("from_zone").isNull() | F.col("to_zone").isNull() | (F.col("from_zone") != F.col("to_zone")))
+        got = alight.join(ahead.hint("shuffle_hash"), "run").where("to_rank > from_rank").where(F.col("from_zone").isNull() | F.col("to_zone").isNull() | (F.col("from_zone") != F.col("to_zone")))
         ride = got.select("search", F.col("to_stop").alias("stop_id"), F.col("to_at").alias("arrival"), F.col("to_stop").alias("via_stop"), F.col("boarded").alias("run"), "board_stop", "board_at", F.col("to_at").alias("alight_at"), "rides")
         ride = ride.groupBy("search", "stop_id").agg(F.min(F.struct(*_LEG)).alias("l")).select("search", "stop_id", "l.*")
         walked = ride.join(walks, F.col("stop_id") == F.col("from_stop")).select("search", F.col("to_stop").alias("stop_id"), (F.col("arrival") + F.col("duration")).alias("arrival"), *_LEG[1:])

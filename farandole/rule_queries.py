@@ -10,6 +10,7 @@ from farandole.further_queries import ORACLE_SQL, QUERIES
 from farandole.operators import disruptions, journeys, requests, search, sets, timetable
 from farandole.plans.feed import Feed
 from farandole.queries import _distance, query
+from farandole.scratch import stored
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -104,7 +105,7 @@ def search_by_days(f: Feed) -> DataFrame:
     """Labels of a search over a year of dated trips, with boarding rules and local zones."""
     stop = F.col("stop_id")
     times = f.stop_time.select("trip_id", "rank", "stop_id", "arrival", "departure", (stop % 11 > 0).alias("pick_up"), (stop % 13 > 0).alias("drop_off"), (stop % 4).alias("zone"))
-    rides = search.runs(times, f.trip.select(F.col("id").alias("trip_id"), "day"), "1995-06-01", 365)
+    rides = stored(search.runs(times, f.trip.select(F.col("id").alias("trip_id"), "day"), "1995-06-01", 365), "runs")
     first = rides.where("departure >= 0 and rank = 0 and pick_up").agg(F.min_by("stop_id", F.struct("departure", F.col("trip_id"))).alias("stop_id"))
     seeds = first.select(F.lit("x").alias("search"), "stop_id", F.lit(0).cast("long").alias("arrival"), F.lit(365 * C.DAY).cast("long").alias("bound"))
     walks = f.spark.createDataFrame([], "from_stop long, to_stop long, duration long")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
 _local: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,9 +51,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df written once to the shared folder in buckets by the key, as many as shuffles have partitions,
+    and read back: joins on the key, in rounds, don't shuffle it again."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    _tables.append(path.rsplit("/", 1)[-1].replace("-", "_"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(_tables[-1])
+    return spark.table(_tables[-1])
+
+
 def clear_scratch() -> None:
     """Removes all scratch tables of this driver; results that read them must be done."""
     spark = SparkSession.getActiveSession()
+    while spark is not None and _tables:
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while spark is not None and _written:
         with contextlib.suppress(Exception):
             path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
