@@ -36,3 +36,35 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], rule: Callable[[t
             yield full()
 
     return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def paged(rows: DataFrame, keys: list[str], rule: Callable[[pa.Table], Iterator[list[pa.Array]]], schema: str) -> DataFrame:
+    """The keys and what the rule yields, column by column, for each group's rows: one group is held at a time,
+    and what it yields is passed on at once. Groups with a null key are left out."""
+    rows = rows.dropna(subset=keys)
+    told = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, *[part.split()[0] for part in schema.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def group() -> Iterator[pa.RecordBatch]:
+            page = pa.Table.from_batches(held)
+            for found in rule(page):
+                lead = [pa.repeat(page[k][0], len(found[0])) for k in keys]
+                yield pa.RecordBatch.from_arrays([*lead, *found], names=names)
+
+        for batch in batches:
+            first = 0
+            for key, same in groupby(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
+                n = sum(1 for _ in same)
+                if held and key != at:
+                    yield from group()
+                    held.clear()
+                at = key
+                held.append(batch.slice(first, n))
+                first += n
+        if held:
+            yield from group()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{told}, {schema}")
