@@ -47,8 +47,8 @@ SEED = 42
 #: Fingerprints of a key that are compared with each other; beyond it the exact way for dense
 #: families is taken.
 MEETING = 64
-#: Slots that tell common shingles, how many shingles are counted for each on average, and the count
-#: from which a slot is common.
+#: Slots that tell common shingles, and how many shingles of each on average make COMMON the count from
+#: which a slot is common; larger tables raise it in proportion.
 SLOTS, LOAD, COMMON = 1 << 21, 2, 8
 #: 64-bit numbers of a text's parity bitmap, and at most those of the wide one of a large set.
 BITMAP, WIDEST = 8, 512
@@ -334,22 +334,21 @@ def least_shared(size: int, similarity: float) -> int:
 
 def _common(told: DataFrame, texts: DataFrame, words: int) -> bytes:
     """For each of SLOTS hash slots a level: the binary logarithm of how often shingles fall into it,
-    if often, else 0. Counted on a share of the texts by hash, so that LOAD fall into each on average: it
-    only puts common shingles last, and any levels give the same results."""
+    if often, else 0. All texts are counted; what counts as often grows with them, as if LOAD fell into each
+    slot on average. It only puts common shingles last, and any levels give the same results."""
     total = (texts.agg(F.sum("bytes")).first()[0] or 0) // 6
-    share = max(1, int(total / (LOAD * SLOTS)))
+    load = max(1, int(total / (LOAD * SLOTS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint16)
+        counts = np.zeros(SLOTS, np.int64)
         for batch in sliced(batches):
             for own in _each(batch.column(0), words):
-                slots = own & (SLOTS - 1)
-                counts[slots] = np.minimum(counts[slots], 65534) + 1
+                counts[np.unique(own & (SLOTS - 1))] += 1
         slots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots].astype(np.int32))], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots])], names=["slot", "n"])
 
-    counted = told.where(F.pmod("id", F.lit(share)) == 0).select("text").mapInArrow(run, "slot int, n int")
-    heavy = counted.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select("slot", F.floor(F.log2("n")).cast("int").alias("level")).toPandas()
+    counted = told.select("text").mapInArrow(run, "slot int, n long")
+    heavy = counted.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * load).select("slot", F.floor(F.log2(F.col("n") / load)).cast("int").alias("level")).toPandas()
     levels = np.zeros(SLOTS, np.uint8)
     levels[heavy["slot"].to_numpy(np.int64)] = heavy["level"].to_numpy(np.uint8)
     return levels.tobytes()
