@@ -380,7 +380,8 @@ def realtime_overlay(f: Feed) -> DataFrame:
 @query(f"""SELECT c.id AS query_id, r.id, round({_distance('c.lon', 'c.lat', 'r.lon', 'r.lat')}, 3) AS distance FROM company c JOIN route r ON {_distance('c.lon', 'c.lat', 'r.lon', 'r.lat')} <= 5000""")
 def radius_join(f: Feed) -> DataFrame:
     queries = f.company.select(F.col("id").alias("query_id"), "lon", "lat")
-    return geo.radius_join(queries, f.route, 5000).withColumn("distance", F.round("distance", 3))
+    met = geo.place_pairs(queries, f.route, 5000).withColumn("distance", F.round("distance", 3))  # once for all pairs of two places
+    return geo.written_out(met)
 
 
 @query(f"""WITH m AS (SELECT c.id AS query_id, r.id, {_distance('c.lon', 'c.lat', 'r.lon', 'r.lat')} AS d FROM company c JOIN route r ON {_distance('c.lon', 'c.lat', 'r.lon', 'r.lat')} <= 20000)

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from farandole import queries
 from farandole.operators import geo, periods, requests, rules
 
 from plan_rows import broadcasts, most_rows, nodes
@@ -98,3 +99,31 @@ def test_calendars_of_other_days_do_not_meet(spark):
     found = periods.similar_calendars(rows, rows.withColumnRenamed("object", "calendar"), "group", 0.2)
     assert most_rows(found) < 200_000
     assert {(r.object, r.calendar) for r in found.collect()} == {(k, k) for k in range(1000)}
+
+
+def test_pairs_are_written_out_by_many_tasks(spark):
+    """Few bytes meet, but many pairs come of them."""
+    at = spark.range(2000).select("id", (F.col("id") * 7 % 100 / 100 + 2).alias("lon"), (F.col("id") * 13 % 100 / 100 + 48).alias("lat"))
+    found = geo.radius_join(at.withColumnRenamed("id", "query_id"), at, 5_000.0)
+    rows = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) >= 12 and max(rows) < sum(rows) / 4
+
+
+def test_distances_are_rounded_once_for_all_pairs_of_two_places(spark):
+    plan = queries.QUERIES["radius_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    assert min(k for k, line in enumerate(lines) if "round(" in line) > max(k for k, line in enumerate(lines) if "Generate explode(query_ids" in line)
+
+
+@pytest.mark.parametrize(("n_asked", "n_held"), [(2000, 300), (300, 2000), (1, 5000), (6000, 1)])
+def test_crowded_cells_are_shared_out(spark, monkeypatch, n_asked, n_held):
+    monkeypatch.setattr(geo, "PART_PAIRS", 500)
+    monkeypatch.setattr(geo, "TOGETHER", 64)
+    place = lambda n, key: spark.range(n).select(F.col("id").alias(key), F.lit(2.0).alias("lon"), F.lit(48.0).alias("lat"))
+    asked = place(n_asked, "query_id").unionByName(spark.createDataFrame([(9000, None, 48.0), (9001, 2.01, 48.0), (9002, 5.0, 48.0)], "query_id long, lon double, lat double"))
+    held = place(n_held, "id").unionByName(spark.createDataFrame([(9000, None, 48.0), (9001, 2.0, None), (9002, 5.0, 48.0)], "id long, lon double, lat double"))
+    found = geo.radius_join(asked, held, 5_000.0).withColumn("task", F.spark_partition_id()).collect()
+    got = [(r.query_id, r.id) for r in found]
+    assert len(got) == len(set(got)) == (n_asked + 1) * n_held + 1
+    assert (9002, 9002) in got and {q for q, _ in got} == {*range(n_asked), 9001, 9002}
+    assert len({r.task for r in found}) >= 8
