@@ -77,6 +77,43 @@ def test_impacts_on_one_object_are_not_compared(spark):
     assert set(got) == {(i, t) for i in (*range(400), 1000) for t in range(1000)} | {(1001, t) for t in range(5, 1000, 100)} | {(None, 8)}
 
 
+def test_pairs_of_impacts_take_little_room(spark, tmp_path):
+    """Rows that follow each other repeat few ids, and one object's pairs are many tasks'."""
+    trips = spark.range(403).select((F.col("id") * 7919 % 100_003).alias("trip_id"), *[F.lit(k).cast("long").alias(f"{c}_id") for k, c in enumerate(("network", "line", "route"))])
+    impacts = spark.range(5003).select((F.col("id") * 104_729 % 6_000_011).alias("impact_id"), F.lit("network").alias("kind"), F.lit(0).cast("long").alias("uri"))
+    found = rules.informed_trips(impacts, trips)
+    found.write.parquet(str(tmp_path / "pairs"))
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 403 * 5003
+    counts = spark.read.parquet(str(tmp_path / "pairs")).agg(F.count(F.lit(1)), F.countDistinct("impact_id"), F.countDistinct("trip_id"), F.countDistinct("impact_id", "trip_id")).collect()
+    assert [tuple(r) for r in counts] == [(403 * 5003, 5003, 403, 403 * 5003)]
+    assert found.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+@pytest.mark.parametrize(("n_trips", "n_impacts", "few"), [(900, 70, 100_000), (70, 900, 100_000), (1, 3000, 0), (3000, 1, 0)])
+def test_objects_of_many_pairs_are_dealt_into_parts(spark, monkeypatch, n_trips, n_impacts, few):
+    monkeypatch.setattr(rules, "PART_PAIRS", 500)
+    monkeypatch.setattr(rules, "TOGETHER", 20)
+    monkeypatch.setattr(rules, "REPEATED", 8)
+    monkeypatch.setattr(rules, "FEW", few)
+    of = lambda k: [F.lit(k + j).cast("long").alias(f"{c}_id") for j, c in enumerate(("network", "line", "route"))]
+    trips = spark.range(n_trips).select(F.col("id").alias("trip_id"), *of(1)).unionByName(spark.createDataFrame([(None, 1, 8, 9), (9000, 6, 2, None), (0, 1, 2, 3)], "trip_id long, network_id long, line_id long, route_id long"))
+    told = [(9000, "line", 2), (9000, "network", 1), (None, "network", 1), (9001, "trip", None), (9002, None, 1), (9003, "route", 77), (0, "network", 1)]
+    impacts = spark.range(n_impacts).select(F.col("id").alias("impact_id"), F.lit("network").alias("kind"), F.lit(1).cast("long").alias("uri")).unionByName(spark.createDataFrame(told, "impact_id long, kind string, uri long"))
+    found = rules.informed_trips(impacts, trips).withColumn("task", F.spark_partition_id()).collect()
+    got = [(r.impact_id, r.trip_id) for r in found]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, t) for i in (*range(n_impacts), None, 9000) for t in (*range(n_trips), None)} | {(9000, 9000)}
+    assert len({r.task for r in found if r.impact_id != 9000}) > 3
+
+
+def test_impacts_or_trips_without_rows(spark):
+    trips = spark.createDataFrame([(1, 1, 1, 1)], "trip_id long, network_id long, line_id long, route_id long")
+    impacts = spark.createDataFrame([(1, "trip", 1)], "impact_id long, kind string, uri long")
+    assert [tuple(r) for r in rules.informed_trips(impacts, trips).collect()] == [(1, 1)]
+    assert rules.informed_trips(impacts.limit(0), trips).collect() == []
+    assert rules.informed_trips(impacts, trips.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("threshold", [0.0, 0.1, 0.4, 0.9, 1.0, 1.7])
 def test_calendars_against_all_pairs(spark, threshold):
     rng = random.Random(5)
